@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
+from tessera.llm.shared import kept
 
 LENGTH = 10
 BLOCK = 1 << 25
@@ -189,6 +190,7 @@ def _digest():
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, that share no window with a benchmark item; rows whose text is null stay."""
     bad = find_matches(docs, benchmark, length).where(F.size("matches") > 0).select("doc_id", "dh").distinct().toDF("c_id", "c_dh")
+    bad = kept(bad, "contaminated")  # so that its size is known when the join is planned
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_dh")), "left_anti")
 
 

@@ -157,14 +157,14 @@ def signatures(g: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
 
 
 def _sets(width: int):
-    names = ["doc_id", "n", "node", *[f"s{k}" for k in range(SKETCH)]]
+    names = ["doc_id", "dh", "n", "node", *[f"s{k}" for k in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, at in A.chunks(batch.column("text")):
                 g, first = shingles(buf, at, width)
                 s = sketches(g, first)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)]], names=names)
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)]], names=names)
 
     return run, ", ".join(f"{c} long" for c in names)
 
@@ -233,14 +233,14 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, nu
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs; sets link when den * intersection >= num * union.
+    """(doc_id, n_shingles, component_id, dh) of every row of docs; sets link when den * intersection >= num * union.
 
     Words are lower-cased (A-Z) runs without white space.  Fewer words than ``width`` make one shingle; a text without
     words, null included, has none, links with nothing and is its own component.  component_id is the smallest doc_id
     reachable by links.  Rows with equal texts are linked; a null doc_id is never a component's smallest while another
-    is there.  Other columns are ignored.
+    is there.  Other columns are ignored.  dh is xxhash64 of the text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dh"))
     table = kept(docs.mapInArrow(*_sets(width)), "sets")
     nodes = kept(table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]), "nodes")
     by = W.partitionBy("sig")
@@ -265,11 +265,27 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
         comps = kept(components(old.toDF("a", "b").union(late)), "components")
         drop(old, late)
     drop(lists, stars, links, of, rest)
-    table = table.select("doc_id", "n", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    table = table.select("doc_id", "dh", "n", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = table.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")).toDF("c", "least")
     out = table.join(least, (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "dh")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest doc_id.  Rows without words all stay."""
+    rows = ngram_components(docs, width, num, den).where("n_shingles > 0")
+    rows = kept(rows, "rows")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "dh")).alias("first"))
+    gone = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"])).where(~F.struct("doc_id", "dh").eqNullSafe(F.col("first")))
+    gone = kept(gone.select(F.col("doc_id").alias("g_id"), F.col("dh").alias("g_dh")).distinct(), "gone")
+    twice = kept(rows.groupBy("doc_id", "dh").agg(F.count("*").alias("n")).where("n > 1").toDF("t_id", "t_dh", "n").select("t_id", "t_dh"), "twice")
+    same = lambda a, b: F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    out = docs.join(gone, same("g_id", "g_dh"), "left_anti")
+    if twice.isEmpty():
+        return out
+    again = out.join(twice, same("t_id", "t_dh"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, same("t_id", "t_dh"), "left_anti").unionByName(again)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("dh")

@@ -27,6 +27,8 @@ BITS = 20
 SAMPLE = 20_000
 FEATURES = 4096
 THRESHOLD = 0.3
+#: Labels to learn from; the others are held out.
+TAUGHT = "crc32(cast(doc_id as string)) % 4 <> 2"
 
 
 @dataclass
@@ -148,25 +150,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(slot, w * ratio[best], b)
 
 
-def _score(model, columns: list[str]):
+def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(model.value.scores(batch.column("text")))], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.scores(batch.column("text")))], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, ...) with a score from 0 to 1 as their last column; a null text scores as an empty one."""
-    columns = [c for c in docs.columns if c != "score"]
-    docs = docs.select(columns)
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs, all columns, with a score from 0 to 1 as column ``name`` at the end; a null text scores as an empty one.
+
+    ``name`` must not be a column of docs.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), columns), f"{schema}, score double")
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), f"{schema}, `{name}` double")
+
+
+def rejected_out(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, whose score by a model of the labels is below the threshold."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    model = fit(docs, labels.where(fold != 2))
+    model = fit(docs, labels.where(TAUGHT))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
