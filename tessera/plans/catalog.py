@@ -245,8 +245,8 @@ ORACLE |= {"call_k7": _calls(7), "call_k7_join": _calls(7), "top2_assignment": _
 
 
 @query()
-def call_k4_weighted(spark, sf_dir):
-    return C.call(*_pair(spark, sf_dir), 4, costs=COSTS)
+def call_k7_weighted(spark, sf_dir):
+    return C.call(*_pair(spark, sf_dir), 7, costs=COSTS)
 
 
 @query(f"select read_id from ({_calls(7)}) where distance1 is null or distance1 > {THRESHOLD}")
