@@ -16,9 +16,11 @@ partners:
 *   level 2: also its empty segments, found by other sets of that level.
 
 Members of a list are compared with the list's least member only.  Lists that
-still hold several components after that are compared pair by pair between
-components, behind a bound on the difference from parity sketches.  Every
-comparison that decides is of whole sets.  Equal sets are one node throughout.
+still hold several components after that are compared with a few more members,
+and what even then holds several components pair by pair.  Nodes of one
+component are not compared again, and pairs whose parity sketches differ in
+more bits than linked sets can are never formed.  Every comparison that decides
+is of whole sets.  Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from tessera.llm.shared import bitmap, drop, kept, maybe
 WIDTH = 4
 NUM, DEN = 85, 100
 SKETCH = 4  # words of 64 bits
+#: Members of a list with which all others are compared, round by round; None: all that are left.
+REPS = (4, 32, None)
 PLACE = "node ^ (coalesce(doc_id, 0L) * 1000003L)"
 
 
@@ -252,19 +256,24 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     stars = kept(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "pairs")
     links = verified(docs, stars, nodes, width, num, den)
     comps = kept(components(links), "components")
-    # lists with several components
-    of = lists.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")).distinct()
-    of = of.select("*", F.min("component").over(by).alias("c0"), F.max("component").over(by).alias("c1")).where("c0 < c1").drop("c0", "c1")
-    of = kept(of.join(nodes.drop("doc_id"), "node"), "open")
-    rest = of.alias("x").join(of.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & F.expr(near(num, den)))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = kept(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        late = verified(docs, rest, nodes, width, num, den)
-        old = comps
-        comps = kept(components(old.toDF("a", "b").union(late)), "components")
-        drop(old, late)
-    drop(lists, stars, links, of, rest)
+    tested = [stars]
+    for reps in REPS:
+        of = lists.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")).distinct()
+        of = of.select("*", F.min("component").over(by).alias("c0"), F.max("component").over(by).alias("c1"), F.row_number().over(by.orderBy("node")).alias("nth"))
+        of = kept(of.where("c0 < c1").drop("c0", "c1").join(nodes.drop("doc_id"), "node"), "open")
+        x, y = of.alias("x"), (of.where(F.col("nth") <= reps) if reps else of).alias("y")
+        apart = "x.component <> y.component" if reps else "x.component < y.component"
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & F.expr(f"{apart} and {near(num, den)}"))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        tested.append(kept(pairs, "pairs"))
+        drop(of)
+        if not tested[-1].isEmpty():
+            late, old = verified(docs, tested[-1], nodes, width, num, den), comps
+            comps = kept(components(old.toDF("a", "b").union(late)), "components")
+            drop(old, late)
+    drop(lists, links, *tested)
     table = table.select("doc_id", "dh", "n", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = table.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")).toDF("c", "least")
     out = table.join(least, (F.col("component") == F.col("c")) & (F.col("n") > 0), "left")
