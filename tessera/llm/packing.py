@@ -8,17 +8,21 @@ last place; a tail bin has at most a sixteenth of padding.  Every task packs
 what it reads alone, without a shuffle; what is in open bins at its end goes
 into common bins, largest pieces first.
 
-Tokens of a text are those of its space-separated parts: a space between two
-other non-white characters always begins a new pre-token of the byte-level
-tokenizer.  Parts that touch more white space are encoded with their
-neighbours.  Distinct parts are encoded once, in a table of bounded size.
+Ids are those of the ``tokenizers`` library for a byte-level BPE file.  Texts of
+characters up to U+024F are encoded by tiktoken with the file's vocabulary as
+ranks, which gives the same ids several times faster; texts with other
+characters, whose classes differ between versions of Unicode, or with very long
+runs of white space go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -31,65 +35,41 @@ from tessera.llm.tokens import tokenizer
 
 CAPACITY = 1024
 FINEST = 16
-PARTS = 200_000
 END = b"\0\0\0\0"
+#: The pre-tokens of the byte-level tokenizer (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SLOW = re.compile(r"[^\x00-\u024f]|\s{1000}")
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+@cache
+def ranks(path: str):
+    """A tiktoken encoding with the vocabulary and special tokens of a byte-level BPE file."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"]: t["id"] for t in made["added_tokens"]}
+    merged = {bytes(byte[c] for c in t): i for t, i in made["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=merged, special_tokens=special)
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizer(path)
-        self.known: dict[bytes, bytes | None] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: set[bytes]) -> None:
-        """Ids of each part with a space before it; None if white space at its ends may join that space."""
-        new -= self.known.keys()
-        if len(self.known) + len(new) > PARTS:
-            self.known = {}
-        text = {b: b.decode() for b in new}
-        even = [b for b, x in text.items() if x and not x[0].isspace() and not x[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(even, self.raw([" " + text[b] for b in even]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split(b" ") for t in texts]
-        rest = [p[1:] for p in parts]
-        want = set(chain.from_iterable(rest))
-        if len(self.known) + len(want) > PARTS:
-            self.known = {}
-        self.learn(want)
-        out: list[bytes] = []
-        for p, r in zip(parts, rest, strict=True):
-            ids = list(map(self.known.__getitem__, r))
-            if None in ids or p[0][:1].isspace() or not p[0] or p[0].decode()[-1].isspace():
-                out.append(self.uneven(p, ids))
-            else:
-                out.append(self.raw([p[0].decode()])[0] + b"".join(ids))
+        self.path, self.fast = path, ranks(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() if not SLOW.search(t) else None for t in texts]
+        slow = [k for k, b in enumerate(out) if b is None]
+        if slow:
+            for k, e in zip(slow, tokenizer(self.path).encode_batch_fast([texts[k] for k in slow], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def uneven(self, parts: list[bytes], ids: list[bytes | None]) -> bytes:
-        """Runs of parts that touch white space go with a part on either side as one text."""
-        first = parts[0].decode()
-        loose = [not first or first[-1].isspace(), *[x is None for x in ids]]
-        n = len(parts)
-        join = [loose[i] or (i > 0 and loose[i - 1]) for i in range(n)]  # with the part before
-        out, i = [], 0
-        while i < n:
-            j = i + 1
-            while j < n and join[j]:
-                j += 1
-            if j == i + 1 and i:
-                out.append(ids[i - 1])
-            else:
-                out.append(self.raw([" " * (i > 0) + b" ".join(parts[i:j]).decode()])[0])
-            i = j
-        return b"".join(out)
-
 
 def lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     """The pieces of n tokens: whole sequences, halvings down to a FINEST-th, and the tail."""
@@ -150,10 +130,9 @@ def _pack(path: str, capacity: int):
         task = TaskContext.get()
         encoder, packer = Encoder(path), Packer((task.partitionId() if task else 0) << 40, capacity)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for k in range(0, len(ids), 500):
-                rows = []
-                for doc, tokens in zip(ids[k : k + 500], encoder.encode([t or b"" for t in texts[k : k + 500]]), strict=True):
+            for k in range(0, len(batch), 500):
+                part, rows = batch.slice(k, 500), []
+                for doc, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     tokens += END
                     view, start, n = memoryview(tokens), 0, len(tokens) // 4
                     for size in lengths(n, capacity):
