@@ -19,7 +19,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 2**64)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=U)
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 HUGE = 1 << 15
 OVERLAP = 1 << 8
-WORDS = 300_000
+WORDS = 200_000
 LIMIT = 2048
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 
