@@ -123,7 +123,7 @@ def write_assignment(lines: DataFrame, path: str, header: str | None = "read\tba
     if header is None:
         return rows.write.text(path)
     name = header
-    return rows.withColumnRenamed("value", name).write.option("header", True).option("quote", "").option("sep", "\x01").option("emptyValue", "").csv(path)
+    return rows.withColumnRenamed("value", name).write.option("header", True).option("quote", "").option("sep", "\x01").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def fastq_lines(reads: DataFrame) -> DataFrame:
