@@ -25,7 +25,7 @@ from tessera.llm.shared import kept
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 SAMPLE = 20_000
-FEATURES = 4096
+FEATURES = 512
 THRESHOLD = 0.3
 #: Labels to learn from; the others are held out.
 TAUGHT = "crc32(cast(doc_id as string)) % 4 <> 2"
@@ -102,7 +102,7 @@ def _vectors(slot):
     return run, "toxic int, slots binary"
 
 
-def logistic(first: np.ndarray, k: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 150) -> tuple[np.ndarray, float]:
+def logistic(first: np.ndarray, k: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on binary rows (slots k from first[i] on) times scale, by Adam."""
     n, row = len(y), np.repeat(np.arange(len(y)), np.diff(first))
     x = scale[k]
