@@ -6,7 +6,8 @@ Content-Length, the place of its successor.  Pointer jumping from the start of
 the file keeps the candidates that a chain of records reaches; the others lie
 inside payloads.
 
-Archives hold about ``ARCHIVE`` bytes, so a task reads whole ones.
+Each writing task makes one archive of the pages that it read, so archives are
+no larger than the input's partitions, and a task reads whole ones.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import kept, place
 
-ARCHIVE = 1 << 24
 LEAST = 0
 MAGIC = b"WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -43,7 +43,7 @@ def base32_sha1(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive: int = ARCHIVE) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """A record per row of pages(page_id, url, html) into archives under ``path``.
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the largest page_id is a response and the others
@@ -54,8 +54,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive: int
     small = kept(p.select("page_id", "sha", "n"), "digests")
     largest = small.groupBy("sha", "n").agg(F.max("page_id").alias("largest"))
     refers = small.join(largest, ["sha", "n"]).where((F.col("n") >= least) & (F.col("page_id") < F.col("largest"))).select("page_id", "sha", "largest").distinct().toDF("r_id", "r_sha", "refers_to")
-    total = small.agg(F.sum("n")).first()[0] or 0
-    files = max(1, -(-total // archive))
+    refers = kept(refers, "revisits")  # so that its size is known when the join is planned
     p = p.join(refers, (F.col("page_id") == F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
     digest = base32_sha1(F.col("html"))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -65,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive: int
     response = F.concat(head("response", F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.col("n")).cast("string"), F.lit(GAP)), http, F.col("html"))
     revisit = head("revisit", F.lit("\r\nWARC-Refers-To: "), urn("refers_to"), F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nContent-Length: 0{GAP}"))
     record = F.when(F.col("refers_to").isNull(), response).otherwise(revisit).alias("value")
-    p.repartition(files, F.xxhash64("page_id", "sha")).select(record).write.option("lineSep", GAP).text(path)
+    p.select(record).write.option("lineSep", GAP).text(path)
 
 
 def chain(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
