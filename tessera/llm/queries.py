@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import cover_tree, decontaminate, ngram_join, packing, secrets, substring_dedup, suffix_dedup, tokens, toxicity, warc
+from tessera.llm.oracle import ORACLE
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -16,4 +17,5 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_toxicity": toxicity.op10,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
