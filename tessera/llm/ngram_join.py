@@ -227,13 +227,13 @@ def near(num: int, den: int) -> str:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link, as a table."""
+    """The pairs (a, b) of nodes whose whole sets link, as a table; a pair may be there twice."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
     want = spark.sparkContext.broadcast(bitmap(ends, F.expr(PLACE)))
     sets = docs.mapInArrow(*_whole(width, want))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return kept(both.select("a", "b", "x", "y").mapInArrow(*_verify(num, den)).distinct(), "links")
+    return kept(both.select("a", "b", "x", "y").mapInArrow(*_verify(num, den)), "links")
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
