@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking, in DataFrame operations alone.
 
 Base findings are reported wherever they are.  Weak candidates (a login-like
-assignment, a bare 40-character token, a URL) mean little alone; they are
-reported only where complementary parts lie within one scope: an identifier
-near a secret, a secret near an identifier, an endpoint near both.
+assignment, a bare 40-character token, a URL, an assigned secret too short for
+a base finding) mean little alone; they are reported only where complementary
+parts lie within one scope: an identifier near a secret, a secret near an
+identifier, an endpoint near both.
 
 Places are code points, end exclusive.
 """
@@ -19,20 +20,23 @@ SCOPE = 256
 #: Kinds in the order in which spans with one start are listed; the first three are base findings.
 KINDS = ("assign", "access", "hex", "login", "bare", "endpoint")
 BASE = 3
+#: The weak kind after those: an assignment whose value has fewer than ``LEAST`` characters.
+SHORT = len(KINDS)
+LEAST = 8
 #: Fixed values.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LOGIN = r"""(?i)(user|username|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
-BARE = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+BARE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+"""
 SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (s, k, e); with ``least``, only those whose second group has so many characters."""
+def spans(text: Column, pattern: str, kind: int, least: int = 0, below: int = 0) -> Column:
+    """Leftmost non-overlapping matches as (s, k, e); with ``least`` or ``below``, only those whose second group has so many characters or fewer than that."""
     cells = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
-    if least:
+    if least or below:
         cells.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -41,6 +45,8 @@ def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
         take = x["hit"].isNotNull()
         if least:
             take = take & (F.length(x["value"]) >= least)
+        if below:
+            take = take & (F.length(x["value"]) < below)
         one = F.array(F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
         return F.struct(end.alias("at"), F.when(take, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
@@ -51,32 +57,32 @@ def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
 
 def listed(of: Column) -> Column:
     """kind:start:end of the spans, by start and then kind, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, (*KINDS, "short")))
     return F.array_join(F.transform(F.array_sort(of), lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, dh, base, weak) of every row: arrays of spans (s, k, e), k an index of KINDS; dh is xxhash64 of the text.
+    """(doc_id, dh, base, weak) of every row: arrays of spans (s, k, e), k an index of KINDS or SHORT; dh is xxhash64 of the text.
 
     A null text is empty and has none.  Rows that are there twice give rows twice.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), text.alias("text"))
     t = F.col("text")
-    base = F.concat(spans(t, ASSIGN, 0, 8), spans(t, ACCESS, 1), spans(t, HEX, 2))
-    weak = F.concat(spans(t, LOGIN, 3), spans(t, BARE, 4), spans(t, ENDPOINT, 5))
+    base = F.concat(spans(t, ASSIGN, 0, LEAST), spans(t, ACCESS, 1), spans(t, HEX, 2))
+    weak = F.concat(spans(t, LOGIN, 3), spans(t, BARE, 4), spans(t, ENDPOINT, 5), spans(t, ASSIGN, SHORT, below=LEAST))
     rows = kept(rows.select("doc_id", "dh", base.alias("base"), weak.alias("weak")), "secrets")
     some = rows.where(F.size("weak") > 0).distinct()
     clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
     some = some.withColumn("weak", clear).where(F.size("weak") > 0)
     parts = some.select("doc_id", "dh", F.explode(F.concat("base", "weak")).alias("p"))
-    parts = parts.select("doc_id", "dh", F.col("p.s").alias("ps"), F.col("p.k").isin(1, 3).alias("is_id"), F.col("p.k").isin(0, 2, 4).alias("is_secret")).where("is_id or is_secret")
+    parts = parts.select("doc_id", "dh", F.col("p.s").alias("ps"), F.col("p.k").isin(1, 3).alias("is_id"), F.col("p.k").isin(0, 2, 4, SHORT).alias("is_secret")).where("is_id or is_secret")
     parts = parts.withColumn("cell", F.explode(F.array(*[F.floor(F.col("ps") / scope) + k for k in (-1, 0, 1)])))
     weak = some.select("doc_id", "dh", F.explode("weak").alias("w")).withColumn("cell", F.floor(F.col("w.s") / scope))
     far = F.abs(F.col("ps") - F.col("w.s"))
     near = weak.join(parts, F.expr("true") & weak["doc_id"].eqNullSafe(parts["doc_id"]) & (weak["dh"] == parts["dh"]) & (weak["cell"] == parts["cell"]) & (far <= scope))
     near = near.groupBy(weak["doc_id"], weak["dh"], "w").agg(F.max("is_id").alias("has_id"), F.max("is_secret").alias("has_secret"))
-    keep = F.when(F.col("w.k") == 3, F.col("has_secret")).when(F.col("w.k") == 4, F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
+    keep = F.when(F.col("w.k") == 3, F.col("has_secret")).when(F.col("w.k").isin(4, SHORT), F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
     linked = near.where(keep).groupBy("doc_id", "dh").agg(F.collect_list("w").alias("linked")).toDF("c_id", "c_dh", "linked")
     out = rows.join(linked, rows["doc_id"].eqNullSafe(linked["c_id"]) & (rows["dh"] == linked["c_dh"]), "left")
     return out.select("doc_id", "dh", "base", F.coalesce("linked", F.array().cast(SPANS)).alias("weak"))

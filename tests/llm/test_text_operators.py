@@ -165,3 +165,14 @@ def test_secrets(spark, none):
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[0] is None and clean[6] == texts[6] and clean[2] == "ü [SECRET]' [SECRET] [SECRET]"
     assert secrets.redact(df).columns == df.columns and secrets.find_secrets(none).count() == 0
+
+
+def test_secrets_of_key_value_pairs(spark, none):
+    key, token = "AKIA" + "Z" * 14, "aB3/" * 10
+    texts = [f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={token}\n", f"AWS_SECRET_ACCESS_KEY={token}", "user: bob, password: hunter2", "password: hunter2", f"{key} secret={token}"]
+    df = spark.createDataFrame([(i, t, 1, 2, 0.5, "x") for i, t in enumerate(texts)], none.schema)
+    weak = {r.doc_id: sorted((texts[r.doc_id][x.s : x.e], x.k) for x in r.weak) for r in secrets.find_secrets(df).collect()}
+    assert weak == {0: [(token, 4)], 1: [], 2: [("password: hunter2", secrets.SHORT), ("user: bob", 3)], 3: [], 4: []}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\n" and clean[1] == texts[1]
+    assert clean[2] == "[SECRET], [SECRET]" and clean[3] == texts[3]
