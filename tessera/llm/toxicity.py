@@ -2,8 +2,11 @@
 
 The features are the distinct ``GRAMS``-character n-grams of a lower-cased text, hashed into ``2**BITS`` buckets.  A
 bucket's ratio r is log((1 + toxic texts with it) / (1 + all toxic)) - the same of the others; a text is the vector of r
-over its buckets, of which the ``FEATURES`` with the largest likelihood ratio stay.  A logistic regression on these
-vectors gives the score.
+over its buckets, every bucket that a labelled text has.  A logistic regression on these vectors gives the score.  Its
+ridge is the one of ``RIDGES`` with the least log loss on a fifth of the labelled texts, after which all of them are fitted.
+
+The vectors stay on the executors: each step of the fit is a pass over them that brings home a gradient per partition,
+so the driver holds arrays of ``2**BITS`` numbers whatever the number and the lengths of the texts.
 
 The fit takes at most ``SAMPLE`` labelled rows, those with the least hash of their doc_id: fewer labels are all taken.
 Scoring covers every text.
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,11 @@ from tessera.llm.shared import kept
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 SAMPLE = 20_000
-FEATURES = 512
+RIDGES = (1.0, 0.1, 0.01)
+#: Passes of the choice of a ridge and of the last fit, partitions that send gradients, n-grams of a piece of work.
+CHOICE, LAST = 12, 6
+PARTS = 6
+PIECE = 1 << 22
 THRESHOLD = 0.3
 #: Labels to learn from; the others are held out.
 TAUGHT = "crc32(cast(doc_id as string)) % 4 <> 2"
@@ -69,7 +77,11 @@ def present(column: pa.Array, slot: np.ndarray) -> Iterator[tuple[int, int, np.n
             k = slot[h]
             hit = k >= 0
             got.append(doc[hit] << 32 | k[hit])
-        both = np.unique(np.concatenate(got))
+        both = np.concatenate(got)
+        both.sort()
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
         yield i, j, both >> 32, both & 0xFFFFFFFF
 
 
@@ -93,28 +105,111 @@ def _bucket_counts():
 def _vectors(slot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: list = []
             for i, j, doc, k in present(batch.column("text"), slot.value):
-                cut = np.searchsorted(doc, np.arange(j - i + 1))
-                sets += [k[cut[x] : cut[x + 1]].astype(np.int16).tobytes() for x in range(j - i)]
-            yield pa.record_batch([batch.column("toxic"), pa.array(sets, pa.binary())], names=["toxic", "slots"])
+                cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32) * np.int32(4)
+                sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(k.astype(np.int32))])
+                yield pa.record_batch([batch.column("toxic").slice(i, j - i), batch.column("held").slice(i, j - i), sets], names=["toxic", "held", "slots"])
+
+    return run, "toxic int, held boolean, slots binary"
 
-    return run, "toxic int, slots binary"
 
+def _gradients(sent):
+    """Of each (weight by slot, bias): the sum of the gradients of log loss over the rows that are not held out, and the log loss of both kinds of rows."""
 
-def logistic(first: np.ndarray, k: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on binary rows (slots k from first[i] on) times scale, by Adam."""
-    n, row = len(y), np.repeat(np.arange(len(y)), np.diff(first))
-    x = scale[k]
-    w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[k] * x, n), -30, 30)))
-        g = np.append(np.bincount(k, (p - y)[row] * x, len(w)) / n + ridge * w / len(w), (p - y).mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, apart = sent.value
+        n = len(models[0][0])
+        grad, more = np.zeros((len(models), n)), np.zeros((len(models), 3))
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy().astype(float)
+            learn = ~(batch.column("held").to_numpy(zero_copy_only=False) & apart)
+            sets = batch.column("slots")
+            cut = np.frombuffer(sets.buffers()[1], np.int32, len(sets) + 1, 4 * sets.offset) // 4
+            data = np.frombuffer(sets.buffers()[2], np.int32) if cut[-1] else np.zeros(0, np.int32)
+            a = 0
+            while a < len(sets):
+                b = max(a + 1, int(np.searchsorted(cut, cut[a] + PIECE, "right")) - 1)
+                k, size, y = data[cut[a] : cut[b]], np.diff(cut[a : b + 1]), toxic[a:b]
+                row = np.repeat(np.arange(b - a), size)
+                for m, (weight, bias) in enumerate(models):
+                    z = np.clip(bias + np.bincount(row, weight[k], b - a), -30, 30)
+                    miss = np.where(learn[a:b], 1 / (1 + np.exp(-z)) - y, 0)
+                    loss = np.logaddexp(0, z) - y * z
+                    grad[m] += np.bincount(k, miss[row], n)
+                    more[m] += miss.sum(), loss[learn[a:b]].sum(), loss[~learn[a:b]].sum()
+                a = b
+        for m in range(len(models)):
+            yield pa.record_batch([pa.array([m]), pa.array([grad[m].astype(np.float32).tobytes()], pa.binary()), pa.array([more[m].tobytes()], pa.binary())], names=["model", "grad", "more"])
+
+    return run, "model long, grad binary, more binary"
+
+
+class Descent:
+    """L-BFGS with a diagonal start, told a loss and a gradient of its ``trial`` at a time."""
+
+    def __init__(self, w: np.ndarray, ridge: float, curve: np.ndarray):
+        self.ridge = np.append(np.full(len(w) - 1, ridge, np.float32), np.float32(0))
+        self.start = 1 / (curve + self.ridge)
+        self.w = self.trial = w
+        self.pairs: list = []
+        self.loss = self.held = np.inf
+        self.slope, self.size = 0.0, 1.0  # of the trial; the first step is short, as n-grams of a word come together
+
+    def tell(self, loss: float, grad: np.ndarray, held: float) -> None:
+        loss += float((self.ridge * self.trial) @ self.trial) / 2
+        grad = grad + self.ridge * self.trial
+        if loss <= self.loss + 1e-4 * self.size * self.slope:
+            if np.isfinite(self.loss):
+                s, y = self.trial - self.w, grad - self.grad
+                if float(s @ y) > 1e-9 * float(y @ y):
+                    self.pairs = [*self.pairs[-3:], (s, y)]
+            self.w, self.loss, self.grad, self.held, self.size = self.trial, loss, grad, held, 1.0 if np.isfinite(self.loss) else 1 / 64
+            d, back = -grad, []
+            for s, y in reversed(self.pairs):
+                back.append(float(s @ d) / float(s @ y))
+                d = d - np.float32(back[-1]) * y
+            d = d * self.start
+            if self.pairs:
+                s, y = self.pairs[-1]
+                d = d * np.float32(float(s @ y) / float((y * self.start) @ y))
+            for (s, y), x in zip(self.pairs, reversed(back), strict=True):
+                d = d + np.float32(x - float(y @ d) / float(s @ y)) * s
+            self.step, self.slope = d, float(grad @ d)
+        else:
+            self.size /= 4
+        self.trial = self.w + np.float32(self.size) * self.step
+
+
+def logistic(rows: DataFrame, ratio: np.ndarray, share: np.ndarray, of: dict) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on rows(toxic, held, slots) times ratio; of: (toxic, held) to a number of rows."""
+    sc, scale = rows.sparkSession.sparkContext, np.append(ratio, 1).astype(np.float32)
+    total = sum(of.values())
+    parts = rows.coalesce(PARTS)
+
+    def told(runs: list[Descent], passes: int, apart: bool) -> None:
+        held = sum(n for (_, h), n in of.items() if h) * apart
+        for _ in range(passes):
+            sent = sc.broadcast(([((r.trial * scale)[:-1], float(r.trial[-1])) for r in runs], apart))
+            grad, more = np.zeros((len(runs), len(ratio))), np.zeros((len(runs), 3))
+            for batch in parts.mapInArrow(*_gradients(sent)).toArrow().to_batches():
+                for m, g, x in zip(*(c for c in batch.columns), strict=True):
+                    grad[m.as_py()] += np.frombuffer(g.as_buffer(), np.float32)
+                    more[m.as_py()] += np.frombuffer(x.as_buffer())
+            sent.destroy()
+            for m, r in enumerate(runs):
+                r.tell(more[m, 1] / (total - held), (np.append(grad[m], more[m, 0]) * scale / (total - held)).astype(np.float32), more[m, 2] / max(held, 1))
+
+    p = sum(n for (y, _), n in of.items() if y) / total
+    curve = (np.append(share * (1 - share), 1) * p * (1 - p) * scale**2).astype(np.float32)
+    w = np.zeros(len(scale), np.float32)
+    w[-1] = np.log(p / (1 - p))
+    runs = [Descent(w, r, curve) for r in RIDGES]
+    told(runs, CHOICE, True)
+    k = min(range(len(runs)), key=lambda m: runs[m].held)
+    last = Descent(runs[k].w, RIDGES[k], curve)
+    del runs
+    told([last], LAST, False)
+    return (last.w * scale)[:-1].astype(float), float(last.w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -126,28 +221,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     truth = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     truth = truth.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("l_id")).select("text", F.expr("int(toxic > 0)").alias("toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("l_id")).select("text", F.expr("int(toxic > 0)").alias("toxic"), F.expr("pmod(xxhash64(l_id, 5), 5) = 0").alias("held"))
     texts = kept(texts, "labelled")
-    of = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    slot = np.full(2**BITS, -1, np.int64)
+    split = {(r["toxic"], r["held"]): r["n"] for r in texts.groupBy("toxic", "held").agg(F.count("*").alias("n")).collect()}
+    of = {y: sum(n for (t, _), n in split.items() if t == y) for y in {y for y, _ in split}}
+    slot = np.full(2**BITS, -1, np.int32)
     if len(of) < 2:
         p = float(np.clip(next(iter(of), 0), 1e-9, 1 - 1e-9))
         return Model(slot, np.zeros(1), float(np.log(p / (1 - p))))
     counts = texts.mapInArrow(*_bucket_counts()).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
     ratio = np.log((1 + toxic) / (1 + of[1])) - np.log((1 + clean) / (1 + of[0]))
-    gain = np.zeros(len(bucket))
-    share = (clean + toxic) / (of[0] + of[1])
-    for part, total in ((clean, of[0]), (toxic, of[1])):
-        for seen, usual in ((part, total * share), (total - part, total * (1 - share))):
-            gain += np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(usual, 1e-9)), 0)
-    best = np.lexsort((bucket, -gain))[:FEATURES]
-    slot[bucket[best]] = np.arange(len(best))
-    rows = texts.mapInArrow(*_vectors(spark.sparkContext.broadcast(slot))).toArrow()
-    sets = [np.frombuffer(x, np.int16) for x in rows["slots"].to_pylist()]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-    w, b = logistic(first, np.concatenate(sets).astype(np.int64), ratio[best], rows["toxic"].to_numpy().astype(float))
-    return Model(slot, w * ratio[best], b)
+    slot[bucket] = np.arange(len(bucket))
+    rows = texts.mapInArrow(*_vectors(spark.sparkContext.broadcast(slot))).persist(StorageLevel.MEMORY_AND_DISK)
+    w, b = logistic(rows, ratio, (clean + toxic) / (of[0] + of[1]), split)
+    rows.unpersist()
+    return Model(slot, w, b)
 
 
 def _score(model, name: str):

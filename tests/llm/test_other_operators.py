@@ -101,6 +101,25 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model, "p").count() == 0
 
 
+def test_toxicity_of_many_words(spark, none):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeiostrnlmd", k=rng.randint(3, 7)))
+    words, toxic = [word() for _ in range(300)], ["".join(rng.choices("bcfghjkpquvwxyz", k=8)) for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        w = rng.choices(words, k=rng.randint(5, 60))
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = toxic[i // 3 % 60]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(i, t, 1, 2, 0.5, "x") for i, t in rows], none.schema)
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(720)], "doc_id long, toxic int"))
+    seen = {x.lower()[a : a + n] for _, x in rows[:720] for n in toxicity.GRAMS for a in range(len(x) - n + 1)}
+    assert (model.slot >= 0).sum() > 0.95 * len(seen)  # some share a bucket
+    got = {r.doc_id: r.p for r in toxicity.score(df, model, "p").collect()}
+    assert sum(got[i] >= 0.3 for i in range(720, 1200, 3)) >= 155
+    assert sum(got[i] < 0.3 for i in range(720, 1200) if i % 3) >= 305
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(8, 6))
