@@ -7,8 +7,8 @@ go to the smaller barcode_id.  A read without candidates has nulls.
 There are two plans with equal results.  ``map`` sends the index, as arrays, to
 every task and calls each batch of reads on its own, without a shuffle; it is
 for barcode sets of at most ``SENT`` rows, whose index then has a known size.
-``join`` is the band join, aggregation and ranking as DataFrame operations, for
-sets beyond that.
+``join`` is the band join, aggregation and ranking of distinct sequences as
+DataFrame operations, for sets beyond that.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -102,8 +102,8 @@ def candidates(ix: Index, code: list[np.ndarray], window: int, n: int) -> tuple[
 
 
 def _caller(sent, distance: str, costs, window: int, n: int):
-    names = ["read_id", "barcode1", "distance1", "barcode2", "distance2"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    names = ["read_id", "seq", "barcode1", "distance1", "barcode2", "distance2"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = sent.value
@@ -124,9 +124,9 @@ def _caller(sent, distance: str, costs, window: int, n: int):
             cells = [(best[k, v], best[k, 1] < 0) for k in (0, 1) for v in (0, 1)]
             if costs:  # distances may be negative; the barcode decides
                 cells = [(best[k, v], best[k, 0] < 0) for k in (0, 1) for v in (0, 1)]
-            yield pa.record_batch([ids, *[pa.array(v.astype(t.to_pandas_dtype()), t, mask=m) for (v, m), t in zip(cells, types[1:], strict=True)]], names=names)
+            yield pa.record_batch([ids, batch.column("seq"), *[pa.array(v.astype(t.to_pandas_dtype()), t, mask=m) for (v, m), t in zip(cells, types, strict=True)]], names=names)
 
-    return run, "read_id long, barcode1 long, distance1 int, barcode2 long, distance2 int"
+    return run, "read_id long, seq string, barcode1 long, distance1 int, barcode2 long, distance2 int"
 
 
 def measure(ix: Index, code: list[np.ndarray], r: np.ndarray, b: np.ndarray, distance: str, costs) -> np.ndarray:
@@ -152,10 +152,16 @@ def barcode_length(barcodes: DataFrame) -> tuple[int, int]:
 
 
 def call(barcodes: DataFrame, reads: DataFrame, k: int = 4, distance: str = "sequence-levenshtein", window: int = I.WINDOW, n: int = I.CANDIDATES, costs: tuple[int, ...] | None = None, plan: str = "auto") -> DataFrame:
-    """(read_id, barcode1, distance1, barcode2, distance2) of every row of reads(read_id, seq).
+    """(read_id, barcode1, distance1, barcode2, distance2) of every row of reads(read_id, seq); read_ids may repeat.
 
     ``costs`` is a table as of ``distance.table``; without one, costs are 1.  A null or empty sequence has no candidates.
+    Bases count without regard to case.
     """
+    return _call(barcodes, reads, k, distance, window, n, costs, plan).drop("seq")
+
+
+def _call(barcodes: DataFrame, reads: DataFrame, k: int, distance: str = "sequence-levenshtein", window: int = I.WINDOW, n: int = I.CANDIDATES, costs: tuple[int, ...] | None = None, plan: str = "auto") -> DataFrame:
+    """The calls, with the sequence of each row behind its read_id."""
     distance = D.named(distance)
     length, rows = barcode_length(barcodes)
     if not 0 < k < min(length, 16):
@@ -167,9 +173,17 @@ def call(barcodes: DataFrame, reads: DataFrame, k: int = 4, distance: str = "seq
         table = barcodes.select(F.col("barcode_id").cast("long").alias("barcode_id"), "seq").toArrow()
         ix = build(table["barcode_id"].to_numpy(), table["seq"].to_pylist(), k, length)
         return reads.mapInArrow(*_caller(reads.sparkSession.sparkContext.broadcast(ix), distance, costs, window, n))
-    top = I.top_candidates(I.pseudo_distance(reads, barcodes, k, length, window), n).select("read_id", "barcode_id")
-    pairs = top.join(barcodes.select("barcode_id", F.col("seq").alias("b")), "barcode_id").join(reads.toDF("read_id", "r"), "read_id")
-    return best_two(pairs.withColumn("dist", measured(distance, costs)), reads)
+    # a call depends on the sequence alone, so the sequence is the key, whatever the read_ids
+    reads, barcodes = reads.withColumn("key", upper(F.col("seq"))), barcodes.select("barcode_id", upper(F.col("seq")).alias("seq"))
+    seqs = reads.where("key is not null").select(F.col("key").alias("read_id"), F.col("key").alias("seq")).distinct()
+    top = I.top_candidates(I.pseudo_distance(seqs, barcodes, k, length, window), n).select("read_id", "barcode_id")
+    pairs = top.join(barcodes.withColumnRenamed("seq", "b"), "barcode_id").withColumn("r", F.col("read_id"))
+    best = best_two(pairs.withColumn("dist", measured(distance, costs)), seqs).withColumnRenamed("read_id", "key")
+    return reads.join(best, "key", "left").drop("key")
+
+
+def upper(seq: Column) -> Column:
+    return F.translate(seq, "acgt", "ACGT")
 
 
 def measured(distance: str, costs: tuple[int, ...] | None):
@@ -195,9 +209,9 @@ def unassigned(calls: DataFrame, threshold: int) -> DataFrame:
 def two_step(barcodes: DataFrame, reads: DataFrame, k_large: int, k_small: int, threshold: int | None, **options) -> DataFrame:
     """Calls with k_large; reads without an accepted one are called anew with k_small.  Without a threshold, only reads without candidates are."""
     threshold = 2**31 - 1 if threshold is None else threshold
-    first = call(barcodes, reads, k_large, **options)
-    rest = reads.join(unassigned(first, threshold).select("read_id"), "read_id", "left_semi")
-    accepted = first.where(F.col("distance1") <= threshold)
+    first = _call(barcodes, reads, k_large, **options)
+    rest = unassigned(first, threshold).select("read_id", "seq")
+    accepted = first.where(F.col("distance1") <= threshold).drop("seq")
     return accepted.unionByName(call(barcodes, rest, k_small, **options))
 
 

@@ -106,3 +106,19 @@ def test_simulate(spark):
     assert sorted(r.barcode_id for r in rows) == [0, 0, 0, 1, 1, 1, 2, 2, 2] and {len(r.seq) for r in rows} == {40}
     assert sorted(map(tuple, rows)) == sorted(map(tuple, simulate(b, 9, length=40).collect()))
     assert {r.seq for r in simulate(b, 3, p=0).collect()} == {B1}
+
+
+@pytest.mark.parametrize("plan", ["map", "join"])
+def test_repeated_read_ids_and_lower_case(spark, plan):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGT", k=20)) for _ in range(12)]
+    b = spark.createDataFrame([(i, s.lower() if i % 2 else s) for i, s in enumerate(seqs)], "barcode_id long, seq string")
+    reads = [(i % 4, s if i % 3 else s.lower()) for i, s in enumerate(seqs)] + [(0, seqs[0].lower()), (0, None)]
+    r = spark.createDataFrame(reads, "read_id long, seq string")
+    want = sorted((i % 4, i, 0) for i in range(12)) + [(0, 0, 0), (0, -1, -1)]
+    for distance in ("levenshtein", "sequence-levenshtein"):
+        got = calling.call(b, r, 4, distance, plan=plan).fillna(-1)
+        assert got.columns == ["read_id", "barcode1", "distance1", "barcode2", "distance2"]
+        assert sorted(tuple(x)[:3] for x in got.collect()) == sorted(want)
+    twice = calling.two_step(b, spark.createDataFrame([(7, seqs[1]), (7, "A" * 20), (7, seqs[2])], r.schema), 7, 4, 3, plan=plan).fillna(-1)
+    assert sorted(tuple(x)[:2] for x in twice.where("distance1 between 0 and 3").collect()) == [(7, 1), (7, 2)] and twice.count() == 3
