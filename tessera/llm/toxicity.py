@@ -33,7 +33,7 @@ RIDGES = (1.0, 0.1, 0.01)
 #: Passes of the choice of a ridge and of the last fit, partitions that send gradients, n-grams of a piece of work.
 CHOICE, LAST = 12, 6
 PARTS = 6
-PIECE = 1 << 22
+PIECE = 1 << 20
 THRESHOLD = 0.3
 #: Labels to learn from; the others are held out.
 TAUGHT = "crc32(cast(doc_id as string)) % 4 <> 2"
