@@ -284,7 +284,8 @@ def ground_truth_output(spark, sf_dir):
 
 @query()
 def simulate_reads(spark, sf_dir):
-    return simulate(barcodes(spark, sf_dir), 2000)
+    of = barcodes(spark, sf_dir)
+    return simulate(of, 2 * of.count())
 
 
 # metrics

@@ -30,3 +30,9 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_simulated_reads_cover_all_barcodes(spark):
+    for sf in (SF, SF.replace("0.001", "0.1")):
+        reads = catalog.simulate_reads(spark, sf).groupBy("barcode_id").count().collect()
+        assert {r["barcode_id"] for r in reads} == {r["barcode_id"] for r in catalog.barcodes(spark, sf).collect()}
