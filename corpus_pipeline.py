@@ -2,7 +2,7 @@
 
 Each stage takes what the one before it kept, written as Parquet and read back; all but the last return the columns of
 documents.  Toxic documents, all but one of each group of near-duplicates and documents that share a passage with the
-benchmark go; found secrets are blotted out in the texts; the last stage packs the texts into sequences.
+benchmark (of its items of ``ITEM_WORDS`` words or more) go; found secrets are blotted out in the texts; the last stage packs the texts into sequences.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, ngram_join, packing, secrets, toxicity
 from tessera.llm.shared import kept
 
+#: Shorter benchmark items are common words that clean documents hold too.
+ITEM_WORDS = 4
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.rejected_out(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.TAUGHT))
@@ -23,7 +26,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=ITEM_WORDS)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,9 +187,15 @@ def _digest():
     return run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents, all columns, that share no window with a benchmark item; rows whose text is null stay."""
-    bad = find_matches(docs, benchmark, length).where(F.size("matches") > 0).select("doc_id", "dh").distinct().toDF("c_id", "c_dh")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, least: int = 1) -> DataFrame:
+    """The documents, all columns, that share no window with a benchmark item of ``least`` words or more; rows whose text is null stay.
+
+    ``least`` is at most ``length``.
+    """
+    if least > length:
+        raise ValueError(f"least = {least} is more than length = {length}")
+    # a match of an item of fewer than length words is the whole item
+    bad = find_matches(docs, benchmark, length).where(F.exists("matches", lambda m: m["length"] >= least)).select("doc_id", "dh").distinct().toDF("c_id", "c_dh")
     bad = kept(bad, "contaminated")  # so that its size is known when the join is planned
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_dh")), "left_anti")
 

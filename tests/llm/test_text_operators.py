@@ -176,3 +176,11 @@ def test_secrets_of_key_value_pairs(spark, none):
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[0] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\n" and clean[1] == texts[1]
     assert clean[2] == "[SECRET], [SECRET]" and clean[3] == texts[3]
+
+
+def test_short_items_and_clean_documents(spark, none):
+    texts = ["all of the people", "a clean one of the many", "one two three four five"]
+    df = spark.createDataFrame([(i, t, 1, 2, 0.5, "x") for i, t in enumerate(texts)], none.schema)
+    bench = spark.createDataFrame([(1, "of the"), (2, "two three four five")], "item_id long, text string")
+    left = lambda **options: sorted(r.doc_id for r in decontaminate.decontaminate(df, bench, **options).collect())
+    assert left() == [] and left(least=4) == [0, 1]
