@@ -18,6 +18,8 @@ from pyspark.sql.window import Window as W
 from tessera.functions import distance
 from tessera.functions.sequences import sanitize
 
+COST_LINES = 100_000
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
@@ -99,8 +101,11 @@ def read_assignment(spark: SparkSession, path: str, header: bool = True) -> Data
 
 
 def read_costs(spark: SparkSession, path: str) -> tuple[int, ...]:
-    """A cost table; a file of a few lines, of which the triples up to the first bad number count."""
-    words = " ".join(r["value"] for r in spark.read.text(path).limit(1000).collect()).split()
+    """A cost table; a file of at most ``COST_LINES`` lines (more are an error), of which the triples up to the first bad number count."""
+    lines = spark.read.text(path).limit(COST_LINES + 1).collect()
+    if len(lines) > COST_LINES:
+        raise ValueError(f"a cost file of more than {COST_LINES} lines: {path}")
+    words = " ".join(r["value"] for r in lines).split()
     good: list[str] = []
     for x, y, c in zip(words[::3], words[1::3], words[2::3], strict=False):
         if not c.lstrip("-").isdigit():

@@ -46,3 +46,12 @@ def test_written_assignment(spark, tmp_path):
     files.write_assignment(files.assignment_lines(calls, reads, barcodes, 5).coalesce(1), f"file://{tmp_path}/out")
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.splitlines() == ["read\tbarcode1\tdistance1", "r0\ty\t2\t"]
+
+
+def test_long_cost_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "long.txt").write_text("A C 1\n" + "\n" * 1500 + "A C 7\n")
+    path = f"file://{tmp_path}/long.txt"
+    assert files.read_costs(spark, path)[1] == 7
+    monkeypatch.setattr(files, "COST_LINES", 1000)
+    with pytest.raises(ValueError):
+        files.read_costs(spark, path)
