@@ -4,9 +4,9 @@ A window is ``length`` consecutive words.  Winnowing gives every window one
 anchor, the least hash of its ``seed``-word grams; equal windows have equal
 anchors.
 
-1.  Seed: anchors that two rows have are joined; the others' windows are unique.
-2.  Extend: consecutive windows with joined anchors are matched as far as they
-    reach, in blocks whose borders depend on content alone.  A block that a
+1.  Seed: anchors that two rows have enter a bitmap; the others' windows are unique.
+2.  Extend: consecutive windows with such anchors are matched in blocks whose
+    borders depend on content alone, by content hash, not word by word.  A block that a
     document with a smaller doc_id also has is removed as a whole.
 3.  What is left, the first copy of each block and the ends of matches, is
     compared window by window.  A window's first document keeps it within such
