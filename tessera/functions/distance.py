@@ -14,10 +14,22 @@ for _i, _c in enumerate(SYMBOLS):
     CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
 CODE[ord("_")] = 4
 UNIT = tuple(int(x != y) for x in range(5) for y in range(5))
+#: Of a sequence's symbols that are no base: it equals nothing, not even itself.
+UNKNOWN = 5
 
 
 def codes(seqs: list[str]) -> list[np.ndarray]:
-    return [CODE[np.frombuffer(s.encode(), np.uint8)] for s in seqs]
+    """Codes 0 to 3 of the bases, without regard to case, and UNKNOWN."""
+    return [np.minimum(x, UNKNOWN) + (x == 4) for x in (CODE[np.frombuffer(s.encode(), np.uint8)] for s in seqs)]
+
+
+def square(costs: tuple[int, ...]) -> np.ndarray:
+    """A cost table with a row and a column for UNKNOWN, which costs as much as the dearest change, insertion or deletion."""
+    c = np.zeros((6, 6), np.int32)
+    c[:5, :5] = np.array(costs, np.int32).reshape(5, 5)
+    c[5, :4] = c[:4, 5] = c[5, 5] = c[:4, :4].max()
+    c[5, 4], c[4, 5] = c[:4, 4].max(), c[4, :4].max()
+    return c
 
 
 def table(triples: str) -> tuple[int, ...]:
@@ -33,7 +45,7 @@ def table(triples: str) -> tuple[int, ...]:
 
 def aligned(b: np.ndarray, r: np.ndarray, costs: tuple[int, ...], prefix: bool) -> np.ndarray:
     """Weighted distance of each row of b (barcodes) and r (reads), all of one length each; ``prefix``: the least over the last row and column."""
-    c = np.array(costs, np.int32).reshape(5, 5)
+    c = square(costs)
     n, width = r.shape[1], b.shape[1]
     row = np.zeros((len(b), width + 1), np.int32)
     for j in range(width):
@@ -50,28 +62,43 @@ def aligned(b: np.ndarray, r: np.ndarray, costs: tuple[int, ...], prefix: bool)
     return np.minimum(best, row[:, :-1].min(1)) if prefix and width else row[:, -1]
 
 
+def masks(b: np.ndarray) -> np.ndarray:
+    """For each symbol and row of b, a word whose bit j tells whether place j has it; UNKNOWN is nowhere."""
+    out = np.zeros((6, len(b)), np.uint64)
+    for x in range(4):
+        for j in range(b.shape[1]):
+            out[x] |= (b[:, j] == x).astype(np.uint64) << np.uint64(j)
+    return out
+
+
 def unit(b: np.ndarray, r: np.ndarray, prefix: bool) -> np.ndarray:
-    """Unit-cost distance of each row, barcodes of at most 63 bases: one machine word holds a column of the distance matrix as differences."""
-    u, n, width = np.uint64, r.shape[1], b.shape[1]
-    eq = np.zeros((5, len(b)), u)
-    for j in range(width):
-        np.bitwise_or.at(eq, (b[:, j], np.arange(len(b))), u(1 << j))
-    up, down = np.full(len(b), (1 << width) - 1, u), np.zeros(len(b), u)
-    score = np.full(len(b), width, np.int32)
-    best = np.full(len(b), np.iinfo(np.int32).max)
-    top, one, at = u(width - 1), u(1), np.arange(len(b))
+    """Unit-cost distance of each row of b and r, barcodes of at most 63 bases."""
+    eq, at = masks(b), np.arange(len(b))
+    return columns(lambda i: eq[r[:, i], at], (len(b),), r.shape[1], b.shape[1], prefix)
+
+
+def columns(equal, shape: tuple[int, ...], n: int, width: int, prefix: bool) -> np.ndarray:
+    """Unit-cost distances of an array of pairs; one machine word holds a column of a distance matrix as differences.
+
+    ``equal(i)`` has the masks of the barcode places that equal read place i.
+    """
+    u = np.uint64
+    up, down = np.full(shape, (1 << width) - 1, u), np.zeros(shape, u)
+    score = np.full(shape, width, np.int32)
+    best = np.full(shape, np.iinfo(np.int32).max, np.int32)
+    top, one = u(width - 1), u(1)
     for i in range(n):
-        e = eq[r[:, i], at]
+        e = equal(i)
         diag = (((e & up) + up) ^ up) | e | down
         right, left = down | ~(diag | up), up & diag
         score += ((right >> top) & one).astype(np.int32) - ((left >> top) & one).astype(np.int32)
         right, left = (right << one) | one, left << one
         seen = diag | down
         up, down = left | ~(seen | right), right & seen
-        best = np.minimum(best, score)
+        np.minimum(best, score, out=best)
     if not prefix:
         return score
-    value = np.full(len(b), n, np.int32)
+    value = np.full(shape, n, np.int32)
     best = np.minimum(best, value) if width else score
     for j in range(width - 1):
         value = value + ((up >> u(j)) & one).astype(np.int32) - ((down >> u(j)) & one).astype(np.int32)

@@ -6,7 +6,8 @@ go to the smaller barcode_id.  A read without candidates has nulls.
 
 There are two plans with equal results.  ``map`` sends the index, as arrays, to
 every task and calls each batch of reads on its own, without a shuffle; it is
-for barcode sets of at most ``SENT`` rows, whose index then has a known size.
+for barcode sets whose index has at most ``SENT`` bytes, which follow from the
+number of barcodes, their length and k.
 ``join`` is the band join, aggregation and ranking of distinct sequences as
 DataFrame operations, for sets beyond that.
 """
@@ -24,9 +25,12 @@ from pyspark.sql.window import Window as W
 
 from tessera.functions import distance as D
 from tessera.operators import index as I
+from tessera.sources.scratch import kept
 
-SENT = 2_000_000
-CELLS = 1 << 20
+#: Bytes of an index that is sent to every task; larger sets are joined.
+SENT = 1 << 28
+#: Postings, and pairs of a read and a barcode, of a piece of work.
+PIECE = 1 << 20
 METHODS = {f"{k}-mer-filter": (k,) for k in (4, 5, 6, 7)} | {"7-4-mer-filter": (7, 4), "7-5-mer-filter": (7, 5)}
 
 
@@ -42,6 +46,12 @@ class Index:
     at: np.ndarray
     ids: np.ndarray
     code: np.ndarray
+    masks: np.ndarray | None  # of D.masks, if a word holds a barcode
+
+
+def index_bytes(rows: int, length: int, k: int) -> int:
+    places = max(length - k + 1, 0)
+    return rows * (6 * places + length + 8 + 48) + 8 * 4**k * places
 
 
 def kmer_codes(code: np.ndarray, k: int) -> np.ndarray:
@@ -64,7 +74,7 @@ def build(ids: np.ndarray, seqs: list[str], k: int, length: int) -> Index:
     cell = x[row, at] * places + at
     by = np.argsort(cell, kind="stable")
     first = np.searchsorted(cell[by], np.arange(4**k * places + 1))
-    return Index(k, length, places, first, row[by].astype(np.int32), at[by].astype(np.int16), ids[order], code)
+    return Index(k, length, places, first, row[by].astype(np.int32), at[by].astype(np.int16), ids[order], code, D.masks(code) if length < 64 else None)
 
 
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -73,7 +83,7 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def candidates(ix: Index, code: list[np.ndarray], window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(read, barcode row) of each read's n best by (pd, barcode_id)."""
+    """(read, barcode row) of each read's n best by (pd, barcode_id), by read.  The work follows the number of postings, not of barcodes."""
     reads, spots, xs = [], [], []
     sizes = np.array([min(len(c), ix.length) for c in code])
     for size in np.unique(sizes[sizes >= ix.k]).tolist():
@@ -83,50 +93,92 @@ def candidates(ix: Index, code: list[np.ndarray], window: int, n: int) -> tuple[
         reads.append(of[row])
         spots.append(at)
         xs.append(x[row, at])
+    none = np.zeros(0, np.int64)
     if not reads or not len(ix.ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     read, i, x = np.concatenate(reads), np.concatenate(spots), np.concatenate(xs)
-    lo, hi = np.maximum(i - window, 0), np.minimum(i + window, ix.places - 1)
-    start = ix.first[x * ix.places + lo]
-    count = ix.first[x * ix.places + hi + 1] - start
-    post = spread(start, count)
-    weight = np.abs(np.repeat(i, count) - ix.at[post]) - ix.length
+    if len(reads) > 1:
+        order = np.argsort(read, kind="stable")
+        read, i, x = read[order], i[order], x[order]
+    start = ix.first[x * ix.places + np.maximum(i - window, 0)]
+    count = ix.first[x * ix.places + np.minimum(i + window, ix.places - 1) + 1] - start
+    first = np.searchsorted(read, np.arange(len(code) + 1))
+    upto = np.append(0, np.cumsum(count))[first]  # postings before each read
+    out, a = [(none, none)], 0
+    while a < len(code):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + PIECE, "right")) - 1)
+        k = slice(first[a], first[z])
+        if upto[z] > upto[a]:
+            r, b = best(ix, read[k] - a, i[k], start[k], count[k], z - a, n)
+            out.append((r + a, b))
+        a = z
+    return np.concatenate([r for r, _ in out]), np.concatenate([b for _, b in out])
+
+
+def best(ix: Index, read: np.ndarray, i: np.ndarray, start: np.ndarray, count: np.ndarray, reads: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``candidates`` of a piece: sums over sorted (read, barcode) keys, or over an array of all where most of it is met."""
     b = len(ix.ids)
-    pd = np.bincount(np.repeat(read, count) * b + ix.barcode[post], weight, len(code) * b).astype(np.int64).reshape(len(code), b)
-    key = pd * b + np.arange(b)
-    if n < b:
-        key = np.partition(key, n - 1, axis=1)[:, :n]
-    key = np.sort(key, axis=1)
-    r, c = np.nonzero(key < 0)
-    return r, key[r, c] % b
-
-
-def _caller(sent, distance: str, costs, window: int, n: int):
-    names = ["read_id", "seq", "barcode1", "distance1", "barcode2", "distance2"]
+    post = spread(start, count)
+    weight = ix.length - np.abs(np.repeat(i.astype(np.int16), count) - ix.at[post])
+    key = np.repeat(read * b, count) + ix.barcode[post]
+    if 2 * len(post) > reads * b:
+        total = np.bincount(key, weight, reads * b).astype(np.int64)
+        key = np.flatnonzero(total)
+        total = total[key]
+    else:
+        both = key << 16 | weight
+        both.sort()
+        key = both >> 16
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, total = key[first], np.add.reduceat(both & 0xFFFF, first)
+    read = key // b
+    # ranked within each read by falling total, then barcode
+    size = np.bincount(read, minlength=reads)
+    base = np.cumsum(size) - size
+    if n < size.max(initial=0):
+        top = int(total.max()) + 1
+        rank = read * top + (top - 1 - total)
+        order = rank << 24 | np.arange(len(rank))  # fewer than 2**24 keys: of several reads at most PIECE, of one at most a barcode set's
+        order.sort()
+        order &= (1 << 24) - 1
+        order = order[np.arange(len(order)) - base[read[order]] < n]
+        key, read = key[order], read[order]
+    return read, key - read * b
+
+
+def _caller(sent, distance: str, costs, window: int, n: int, threshold: int | None):
+    """Calls with the first of the sent indexes; reads that have no accepted call are called with the next."""
+    names = ["read_id", "barcode1", "distance1", "barcode2", "distance2"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
+    def called(ix: Index, code: list[np.ndarray]) -> np.ndarray:
+        """Barcode row and distance of the best and the second; row -1 for none."""
+        r, b = candidates(ix, code, window, n)
+        d = measure(ix, code, r, b, distance, costs)
+        order = np.lexsort((b, d, r))
+        r, b, d = r[order], b[order], d[order]
+        first = np.searchsorted(r, np.arange(len(code) + 1))
+        out = np.full((2, 2, len(code)), -1, np.int64)
+        for k in (0, 1):
+            some = np.flatnonzero(np.diff(first) > k)
+            out[k, 0, some], out[k, 1, some] = b[first[some] + k], d[first[some] + k]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = sent.value
-        step = max(1, CELLS // max(1, len(ix.ids)))
+        steps: list[Index] = sent.value
         for batch in batches:
-            ids, seqs = batch.column("read_id"), [s or "" for s in batch.column("seq").to_pylist()]
-            best = np.full((2, 2, len(seqs)), -1, np.int64)
-            for a in range(0, len(seqs), step):
-                code = D.codes(seqs[a : a + step])
-                r, b = candidates(ix, code, window, n)
-                d = measure(ix, code, r, b, distance, costs)
-                order = np.lexsort((b, d, r))
-                r, b, d = r[order], b[order], d[order]
-                first = np.searchsorted(r, np.arange(len(code) + 1))
-                for k in (0, 1):
-                    some = np.flatnonzero(np.diff(first) > k)
-                    best[k, 0, a + some], best[k, 1, a + some] = ix.ids[b[first[some] + k]], d[first[some] + k]
-            cells = [(best[k, v], best[k, 1] < 0) for k in (0, 1) for v in (0, 1)]
-            if costs:  # distances may be negative; the barcode decides
-                cells = [(best[k, v], best[k, 0] < 0) for k in (0, 1) for v in (0, 1)]
-            yield pa.record_batch([ids, batch.column("seq"), *[pa.array(v.astype(t.to_pandas_dtype()), t, mask=m) for (v, m), t in zip(cells, types, strict=True)]], names=names)
-
-    return run, "read_id long, seq string, barcode1 long, distance1 int, barcode2 long, distance2 int"
+            seqs = [s or "" for s in batch.column("seq").to_pylist()]
+            for a in range(0, len(seqs), 1 << 12):
+                code = D.codes(seqs[a : a + (1 << 12)])
+                got = called(steps[0], code)
+                for ix in steps[1:]:
+                    rest = np.flatnonzero((got[0, 0] < 0) | (got[0, 1] > threshold))
+                    if len(rest):
+                        got[:, :, rest] = called(ix, [code[i] for i in rest.tolist()])
+                cells = [(steps[0].ids[got[k, 0]] if v == 0 else got[k, 1], got[k, 0] < 0) for k in (0, 1) for v in (0, 1)]
+                yield pa.record_batch([batch.column("read_id").slice(a, len(code)), *[pa.array(v.astype(t.to_pandas_dtype()), t, mask=m) for (v, m), t in zip(cells, types, strict=True)]], names=names)
+
+    return run, "read_id long, barcode1 long, distance1 int, barcode2 long, distance2 int"
 
 
 def measure(ix: Index, code: list[np.ndarray], r: np.ndarray, b: np.ndarray, distance: str, costs) -> np.ndarray:
@@ -134,10 +186,16 @@ def measure(ix: Index, code: list[np.ndarray], r: np.ndarray, b: np.ndarray, dis
     prefix, size = distance == "sequence-levenshtein", np.array([len(c) for c in code])[r] if len(r) else np.zeros(0, int)
     out = np.zeros(len(r), np.int64)
     for n in np.unique(size).tolist():
-        k = np.flatnonzero(size == n)
-        reads = np.stack([code[i] for i in np.unique(r[k]).tolist()])[np.unique(r[k], return_inverse=True)[1]]
-        run = D.unit if costs is None and ix.length < 64 else lambda x, y, p: D.aligned(x, y, costs or D.UNIT, p)
-        out[k] = run(ix.code[b[k]], reads, prefix)
+        of = np.flatnonzero(size == n)
+        some, at = np.unique(r[of], return_inverse=True)
+        reads = np.stack([code[i] for i in some.tolist()])
+        for a in range(0, len(of), 1 << 14):  # so much stays in a core's cache
+            k = of[a : a + (1 << 14)]
+            x, y = reads[at[a : a + (1 << 14)]], b[k]
+            if costs is None and ix.masks is not None:
+                out[k] = D.columns(lambda i, x=x, y=y: ix.masks[x[:, i], y], (len(k),), n, ix.length, prefix)
+            else:
+                out[k] = D.aligned(ix.code[y], x, costs or D.UNIT, prefix)
     return out
 
 
@@ -151,39 +209,55 @@ def barcode_length(barcodes: DataFrame) -> tuple[int, int]:
     return low, n
 
 
+def spread_out(reads: DataFrame) -> DataFrame:
+    """reads over at least as many partitions as there are cores: a call costs far more than moving its read."""
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    return reads if reads.isStreaming or reads.rdd.getNumPartitions() >= cores else reads.repartition(4 * cores)
+
+
 def call(barcodes: DataFrame, reads: DataFrame, k: int = 4, distance: str = "sequence-levenshtein", window: int = I.WINDOW, n: int = I.CANDIDATES, costs: tuple[int, ...] | None = None, plan: str = "auto") -> DataFrame:
     """(read_id, barcode1, distance1, barcode2, distance2) of every row of reads(read_id, seq); read_ids may repeat.
 
     ``costs`` is a table as of ``distance.table``; without one, costs are 1.  A null or empty sequence has no candidates.
-    Bases count without regard to case.
+    Bases count without regard to case; other symbols match nothing, neither in k-mers nor in distances.
     """
-    return _call(barcodes, reads, k, distance, window, n, costs, plan).drop("seq")
+    return _call(barcodes, reads, (k,), None, distance, window, n, costs, plan).drop("seq")
 
 
-def _call(barcodes: DataFrame, reads: DataFrame, k: int, distance: str = "sequence-levenshtein", window: int = I.WINDOW, n: int = I.CANDIDATES, costs: tuple[int, ...] | None = None, plan: str = "auto") -> DataFrame:
-    """The calls, with the sequence of each row behind its read_id."""
+def _call(barcodes: DataFrame, reads: DataFrame, ks: tuple[int, ...], threshold: int | None, distance: str = "sequence-levenshtein", window: int = I.WINDOW, n: int = I.CANDIDATES, costs: tuple[int, ...] | None = None, plan: str = "auto") -> DataFrame:
+    """The calls with ks[0], and of reads without one within the threshold with ks[1].  The join plan also has seq."""
     distance = D.named(distance)
     length, rows = barcode_length(barcodes)
-    if not 0 < k < min(length, 16):
-        raise ValueError(f"k = {k} does not suit barcodes of {length} bases")
+    for k in ks:
+        if not 0 < k < min(length, 16):
+            raise ValueError(f"k = {k} does not suit barcodes of {length} bases")
     if plan == "auto":
-        plan = "map" if rows <= SENT else "join"
+        plan = "map" if sum(index_bytes(rows, length, k) for k in ks) <= SENT else "join"
     reads = reads.select(F.col("read_id").cast("long").alias("read_id"), "seq")
     if plan == "map":
         table = barcodes.select(F.col("barcode_id").cast("long").alias("barcode_id"), "seq").toArrow()
-        ix = build(table["barcode_id"].to_numpy(), table["seq"].to_pylist(), k, length)
-        return reads.mapInArrow(*_caller(reads.sparkSession.sparkContext.broadcast(ix), distance, costs, window, n))
-    # a call depends on the sequence alone, so the sequence is the key, whatever the read_ids
-    reads, barcodes = reads.withColumn("key", upper(F.col("seq"))), barcodes.select("barcode_id", upper(F.col("seq")).alias("seq"))
+        steps = [build(table["barcode_id"].to_numpy(), table["seq"].to_pylist(), k, length) for k in ks]
+        return spread_out(reads).mapInArrow(*_caller(reads.sparkSession.sparkContext.broadcast(steps), distance, costs, window, n, threshold))
+    # a call depends on the sequence alone, so the sequence is the key, whatever the read_ids; unknown symbols differ between both sides
+    reads = reads.withColumn("key", known(F.col("seq"), "-"))
+    barcodes = barcodes.select("barcode_id", known(F.col("seq"), "_").alias("seq"))
     seqs = reads.where("key is not null").select(F.col("key").alias("read_id"), F.col("key").alias("seq")).distinct()
-    top = I.top_candidates(I.pseudo_distance(seqs, barcodes, k, length, window), n).select("read_id", "barcode_id")
-    pairs = top.join(barcodes.withColumnRenamed("seq", "b"), "barcode_id").withColumn("r", F.col("read_id"))
-    best = best_two(pairs.withColumn("dist", measured(distance, costs)), seqs).withColumnRenamed("read_id", "key")
-    return reads.join(best, "key", "left").drop("key")
+    best = None
+    for k in ks:
+        top = I.top_candidates(I.pseudo_distance(seqs, barcodes, k, length, window), n).select("read_id", "barcode_id")
+        pairs = top.join(barcodes.withColumnRenamed("seq", "b"), "barcode_id").withColumn("r", F.col("read_id"))
+        step = best_two(pairs.withColumn("dist", measured(distance, costs)), seqs)
+        if len(ks) > 1 and k == ks[0]:
+            step = kept(step, "calls")
+            seqs = unassigned(step, threshold).select("read_id", F.col("read_id").alias("seq"))
+            step = step.where(F.col("distance1") <= threshold)
+        best = step if best is None else best.unionByName(step)
+    return reads.join(best.withColumnRenamed("read_id", "key"), "key", "left").drop("key")
 
 
-def upper(seq: Column) -> Column:
-    return F.translate(seq, "acgt", "ACGT")
+def known(seq: Column, other: str) -> Column:
+    """Upper-case bases; each other symbol becomes ``other``."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", other)
 
 
 def measured(distance: str, costs: tuple[int, ...] | None):
@@ -208,11 +282,7 @@ def unassigned(calls: DataFrame, threshold: int) -> DataFrame:
 
 def two_step(barcodes: DataFrame, reads: DataFrame, k_large: int, k_small: int, threshold: int | None, **options) -> DataFrame:
     """Calls with k_large; reads without an accepted one are called anew with k_small.  Without a threshold, only reads without candidates are."""
-    threshold = 2**31 - 1 if threshold is None else threshold
-    first = _call(barcodes, reads, k_large, **options)
-    rest = unassigned(first, threshold).select("read_id", "seq")
-    accepted = first.where(F.col("distance1") <= threshold).drop("seq")
-    return accepted.unionByName(call(barcodes, rest, k_small, **options))
+    return _call(barcodes, reads, (k_large, k_small), 2**31 - 1 if threshold is None else threshold, **options).drop("seq")
 
 
 def run_method(method: str, barcodes: DataFrame, reads: DataFrame, threshold: int | None = None, **options) -> DataFrame:
@@ -223,24 +293,34 @@ def run_method(method: str, barcodes: DataFrame, reads: DataFrame, threshold: in
 
 
 def nearest(barcodes: DataFrame, reads: DataFrame, distance: str = "sequence-levenshtein") -> DataFrame:
-    """Calls without the filter: every read against every barcode, in blocks of a broadcast set of at most SENT rows."""
+    """(read_id, barcode1, distance1) without the filter: every read against every barcode of a set that may be sent."""
     length, rows = barcode_length(barcodes)
-    if rows > SENT:
+    if rows * (length + 56) > SENT:
         raise ValueError("too many barcodes to compare each with each read")
     table = barcodes.select(F.col("barcode_id").cast("long").alias("barcode_id"), "seq").orderBy("barcode_id").toArrow()
-    ids, code = table["barcode_id"].to_numpy(), np.stack(D.codes(table["seq"].to_pylist()))
-    sent, prefix = reads.sparkSession.sparkContext.broadcast((ids, code)), D.named(distance) == "sequence-levenshtein"
+    code = np.stack(D.codes(table["seq"].to_pylist()))
+    sent = reads.sparkSession.sparkContext.broadcast((table["barcode_id"].to_numpy(), code, D.masks(code) if length < 64 else None))
+    prefix, step = D.named(distance) == "sequence-levenshtein", max(1, (1 << 14) // rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, code = sent.value
+        ids, code, masks = sent.value
         for batch in batches:
-            b1, d1 = [], []
-            for s in batch.column("seq").to_pylist():
-                r = D.codes([s or ""])[0]
-                d = D.unit(code, np.broadcast_to(r, (len(code), len(r))), prefix) if len(r) and length < 64 else D.aligned(code, np.broadcast_to(r, (len(code), len(r))), D.UNIT, prefix) if len(r) else np.full(len(code), 0 if prefix else length)
-                k = int(np.argmin(d))
-                b1.append(int(ids[k]))
-                d1.append(int(d[k]))
-            yield pa.record_batch([batch.column("read_id"), pa.array(b1, pa.int64()), pa.array(d1, pa.int32())], names=["read_id", "barcode1", "distance1"])
-
-    return reads.select(F.col("read_id").cast("long").alias("read_id"), "seq").mapInArrow(run, "read_id long, barcode1 long, distance1 int")
+            reads = D.codes([s or "" for s in batch.column("seq").to_pylist()])
+            size = np.array([len(c) for c in reads])
+            row, dist = np.zeros(len(reads), np.int64), np.zeros(len(reads), np.int64)
+            for n in np.unique(size).tolist():
+                of = np.flatnonzero(size == n)
+                for a in range(0, len(of), step):
+                    k = of[a : a + step]
+                    x = np.stack([reads[i] for i in k.tolist()])
+                    if not n:
+                        d = np.full((len(k), rows), 0 if prefix else length)
+                    elif masks is not None:
+                        d = D.columns(lambda i, x=x: masks[x[:, i]], (len(k), rows), n, length, prefix)
+                    else:
+                        d = D.aligned(np.tile(code, (len(k), 1)), np.repeat(x, rows, 0), D.UNIT, prefix).reshape(len(k), rows)
+                    row[k] = d.argmin(1)
+                    dist[k] = d[np.arange(len(k)), row[k]]
+            yield pa.record_batch([batch.column("read_id"), pa.array(ids[row]), pa.array(dist, pa.int32())], names=["read_id", "barcode1", "distance1"])
+
+    return spread_out(reads.select(F.col("read_id").cast("long").alias("read_id"), "seq")).mapInArrow(run, "read_id long, barcode1 long, distance1 int")

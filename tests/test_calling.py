@@ -21,13 +21,14 @@ GOLDEN = [
 
 
 def dp(b, r, prefix, c=D.UNIT):
+    c = D.square(c)
     d = np.zeros((len(r) + 1, len(b) + 1), int)
     for j in range(len(b)):
-        d[0, j + 1] = d[0, j] + c[5 * b[j] + 4]
+        d[0, j + 1] = d[0, j] + c[b[j], 4]
     for i in range(len(r)):
-        d[i + 1, 0] = d[i, 0] + c[20 + r[i]]
+        d[i + 1, 0] = d[i, 0] + c[4, r[i]]
         for j in range(len(b)):
-            d[i + 1, j + 1] = min(d[i, j] + c[5 * r[i] + b[j]], d[i, j + 1] + c[5 * r[i] + 4], d[i + 1, j] + c[20 + b[j]])
+            d[i + 1, j + 1] = min(d[i, j] + c[r[i], b[j]], d[i, j + 1] + c[r[i], 4], d[i + 1, j] + c[4, b[j]])
     if not prefix:
         return d[-1, -1]
     return min(d[1:, -1].min(), d[-1, :-1].min()) if len(r) else 0
@@ -59,7 +60,7 @@ def brute(barcodes, reads, k, n=100, window=5):
     for i, r in enumerate(reads):
         scored = []
         for j, b in enumerate(barcodes):
-            s = sum(abs(x - y) - len(b) for x in range(min(len(r), len(b)) - k + 1) for y in range(max(0, x - window), min(x + window, len(b) - k) + 1) if r[x : x + k] == b[y : y + k])
+            s = sum(abs(x - y) - len(b) for x in range(min(len(r), len(b)) - k + 1) for y in range(max(0, x - window), min(x + window, len(b) - k) + 1) if r[x : x + k] == b[y : y + k] and set(r[x : x + k]) <= set("ACGT"))
             if s < 0:
                 scored.append((s, j))
         code = D.codes([r])[0]
@@ -69,16 +70,17 @@ def brute(barcodes, reads, k, n=100, window=5):
     return out
 
 
-@pytest.mark.parametrize("plan", ["map", "join"])
-def test_call_equals_brute_force(spark, plan):
+@pytest.mark.parametrize(("plan", "k"), [("map", 4), ("map", 5), ("map", 6), ("join", 4)])
+def test_call_equals_brute_force(spark, plan, k):
     rng = random.Random(5)
     barcodes = ["".join(rng.choices("ACGT", k=12)) for _ in range(30)]
     barcodes[7] = barcodes[3]  # a tie
-    reads = ["", "AC", barcodes[3], *["".join(c if rng.random() > 0.2 else rng.choice("ACGT") for c in rng.choice(barcodes)) + rng.choice(["", "GATT"]) for _ in range(40)]]
+    barcodes[8] = barcodes[8][:5] + "N" + barcodes[8][6:]
+    reads = ["", "AC", barcodes[3], barcodes[8], barcodes[1][:6] + "N" + barcodes[1][7:], barcodes[2] + "N-_", "-" + barcodes[4], "N" * 12, *["".join(c if rng.random() > 0.2 else rng.choice("ACGT") for c in rng.choice(barcodes)) + rng.choice(["", "GATT"]) for _ in range(40)]]
     b = spark.createDataFrame(list(enumerate(barcodes)), "barcode_id long, seq string")
     r = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
-    got = {x.read_id: tuple(x)[1:] for x in calling.call(b, r, 4, n=5, plan=plan).collect()}
-    assert got == brute(barcodes, reads, 4, n=5)
+    got = {x.read_id: tuple(x)[1:] for x in calling.call(b, r, k, n=5, plan=plan).collect()}
+    assert got == brute(barcodes, reads, k, n=5)
 
 
 def test_two_step_and_errors(spark):
@@ -100,6 +102,28 @@ def test_two_step_and_errors(spark):
     assert metrics.recall(calling.call(b, r, 4).where("false")).first()[0] is None
 
 
+def test_pieces_of_work(monkeypatch):
+    rng = np.random.default_rng(7)
+    codes, reads = rng.integers(0, 4, (60, 16)), rng.integers(0, 4, (200, 16))
+    seqs = ["".join("ACTG"[c] for c in x) for x in codes]
+    ix = calling.build(np.arange(60), seqs, 3, 16)
+    whole = calling.candidates(ix, list(reads.astype(np.uint8)), 5, 7)
+    monkeypatch.setattr(calling, "PIECE", 50)
+    parts = calling.candidates(ix, list(reads.astype(np.uint8)), 5, 7)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = random.Random(9)
+    barcodes = ["".join(rng.choices("ACGT", k=10)) for _ in range(20)]
+    reads = ["", "ACN", *["".join(rng.choices("ACGT", k=rng.randint(1, 12))) for _ in range(30)]]
+    b = spark.createDataFrame(list(enumerate(barcodes)), "barcode_id long, seq string")
+    r = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    for name, prefix in (("levenshtein", False), ("sequence-levenshtein", True)):
+        want = {i: min((int(dp(D.codes([x])[0], D.codes([s])[0], prefix)), j) for j, x in enumerate(barcodes))[::-1] for i, s in enumerate(reads)}
+        assert {x.read_id: tuple(x)[1:] for x in calling.nearest(b, r, name).collect()} == want
+
+
 def test_simulate(spark):
     b = spark.createDataFrame([(i, B1) for i in range(3)], "barcode_id long, seq string")
     rows = simulate(b, 9, length=40).collect()
