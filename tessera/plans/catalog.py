@@ -1,13 +1,10 @@
 """Queries by name, each over its whole tables, and their DuckDB equivalents.
 
-Without SQL: what has none (random reads), and calls with k below 7, whose band join takes DuckDB minutes on whole
-tables; tests hold those against brute force.
+``brute_force_nn`` has none, as DuckDB takes minutes for all pairs; tests hold it against a scalar recurrence.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +18,7 @@ from tessera.operators import metrics as M
 from tessera.operators.simulate import simulate
 from tessera.plans.fixtures import BARCODES, LENGTH, READS, THRESHOLD, barcodes, reads
 from tessera.sources import files
+from tessera.sources.scratch import place
 
 #: gap 2, transition 1, transversion 3
 COSTS = D.table("A - 2 C - 2 T - 2 G - 2 - A 2 - C 2 - T 2 - G 2 A G 1 G A 1 C T 1 T C 1 A C 3 C A 3 A T 3 T A 3 G C 3 C G 3 G T 3 T G 3")
@@ -28,15 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -69,13 +58,49 @@ _SL = "cast(list_min(list_concat(list_transform(range(1, length(r) + 1), lambda
 _TRUE = f"select read_id, b.seq as b, r.seq as r from ({READS}) r join ({BARCODES}) b on barcode_id = truth"
 
 
-def _calls(k: int, measure: str = _SL) -> str:
-    pairs = f"select read_id, barcode_id, {measure} as dist from (select t.read_id, t.barcode_id, b.seq as b, r.seq as r from ({_top(k)}) t join ({BARCODES}) b using (barcode_id) join ({READS}) r using (read_id))"
-    ranked = f"select *, row_number() over (partition by read_id order by dist, barcode_id) as n from ({pairs})"
+_WORD = 2**LENGTH - 1
+
+
+def _measured(pairs: str, prefix: bool = True) -> str:
+    """pairs(read_id, barcode_id, b, r) of LENGTH bases each, with their unit-cost distance: a column of the distance matrix is two words of differences."""
+    mask = lambda x: f"list_sum(list_transform(range(0, {LENGTH}), lambda j: case when substr(b, j + 1, 1) = '{x}' then 1::bigint << j else 0 end))::bigint as m{x}"
+    masks = f"select b, {', '.join(map(mask, 'ACGT'))} from (select distinct seq as b from ({BARCODES}))"
+    t = f"select *, {_WORD}::bigint as up, 0::bigint as down, {LENGTH}::bigint as score, {LENGTH}::bigint as best from ({pairs}) join ({masks}) using (b)"
+    for i in range(1, LENGTH + 1):
+        t = f"select *, case substr(r, {i}, 1) when 'A' then mA when 'C' then mC when 'G' then mG else mT end as e from ({t})"
+        t = f"select * exclude (e), ((xor((e & up) + up, up) | e | down) & {_WORD}) as diag from ({t})"
+        t = f"select *, down | xor({_WORD}, diag | up) as rightw, up & diag as leftw from ({t})"
+        t = f"select * exclude (rightw, leftw), (((rightw << 1) | 1) & {_WORD}) as rightw, ((leftw << 1) & {_WORD}) as leftw, (rightw >> {LENGTH - 1}) - (leftw >> {LENGTH - 1}) as more from ({t})"
+        t = f"select * exclude (up, down, score, best, diag, rightw, leftw, more), leftw | xor({_WORD}, diag | down | rightw) as up, rightw & (diag | down) as down, score + more as score, least(best, score + more) as best from ({t})"
+    row = f"list_min(list_transform(range(0, {LENGTH}), lambda j: {LENGTH} + bit_count(up & ((1::bigint << j) - 1)) - bit_count(down & ((1::bigint << j) - 1))))"
+    return f"select read_id, barcode_id, cast({f'least(best, {row})' if prefix else 'score'} as int) as dist from ({t})"
+
+
+def _weighed(pairs: str, prefix: bool = True) -> str:
+    """pairs(read_id, barcode_id, b, r) with their distance by COSTS: gap 2, transition 1, transversion 3."""
+    sub = "case when substr(b, j, 1) = substr(r, i + 1, 1) then 0 when substr(b, j, 1) || substr(r, i + 1, 1) in ('AG', 'GA', 'CT', 'TC') then 1 else 3 end"
+    start = f"select read_id, barcode_id, b, r, 0 as i, list_transform(range(0, {LENGTH + 1}), lambda j: 2 * j) as d, 1000000::bigint as best from ({pairs})"
+    without = f"select *, list_transform(range(0, {LENGTH + 1}), lambda j: case when j = 0 then d[1] + 2 else least(d[j] + {sub}, d[j + 1] + 2) - 2 * j end) as x from t where i < {LENGTH}"
+    step = f"select read_id, barcode_id, b, r, i + 1, list_transform(range(0, {LENGTH + 1}), lambda j: 2 * j + list_min(x[1 : j + 1])) as d, least(best, list_min(list_transform(x, lambda y: y + {2 * LENGTH}))) as best from ({without})"
+    last = f"least(best, list_min(d[1 : {LENGTH}]))" if prefix else f"d[{LENGTH + 1}]"
+    return f"with recursive t as ({start} union all {step}) select read_id, barcode_id, cast({last} as int) as dist from t where i = {LENGTH}"
+
+
+def _calls(k: int, measured=_measured) -> str:
+    pairs = f"select t.read_id, t.barcode_id, b.seq as b, r.seq as r from ({_top(k)}) t join ({BARCODES}) b using (barcode_id) join ({READS}) r using (read_id)"
+    ranked = f"select *, row_number() over (partition by read_id order by dist, barcode_id) as n from ({measured(pairs)})"
     best = f"select read_id, max(case when n = 1 then barcode_id end) as barcode1, max(case when n = 1 then dist end) as distance1, max(case when n = 2 then barcode_id end) as barcode2, max(case when n = 2 then dist end) as distance2 from ({ranked}) where n <= 2 group by read_id"
     return f"select r.read_id, barcode1, distance1, barcode2, distance2 from ({READS}) r left join ({best}) c on r.read_id = c.read_id"
 
 
+def _two_step(large: int, small: int) -> str:
+    columns = ", ".join(f"case when ok then l.{c} else s.{c} end as {c}" for c in ("barcode1", "distance1", "barcode2", "distance2"))
+    return f"select read_id, {columns} from (select *, coalesce(distance1 <= {THRESHOLD}, false) as ok from ({_calls(large)})) l join ({_calls(small)}) s using (read_id)"
+
+
+_TRUE_PAIRS = f"select read_id, truth as barcode_id, b, r from ({_TRUE.replace('read_id,', 'read_id, truth,', 1)})"
+
+
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return barcodes(spark, sf_dir), reads(spark, sf_dir)
 
@@ -107,7 +132,7 @@ def pack_2bit(spark, sf_dir):
 @query(f"select barcode_id, concat('barcode', barcode_id) as name, seq from ({BARCODES})")
 def scan_barcodes(spark, sf_dir):
     """Barcodes written to a file and read back; the id is that of the name."""
-    path = _scratch(spark, "bc")
+    path = place(spark, "bc")
     files.write_lines(files.barcode_lines(barcodes(spark, sf_dir)), "barcode_id", path)
     back = files.read_barcodes(spark, path, LENGTH)
     return back.select(F.substring("name", 8, 20).cast("long").alias("barcode_id"), "name", "seq")
@@ -115,14 +140,14 @@ def scan_barcodes(spark, sf_dir):
 
 @query(f"select concat('read', read_id) as name, seq from ({READS})")
 def scan_fastq(spark, sf_dir):
-    path = _scratch(spark, "fastq")
+    path = place(spark, "fastq")
     files.write_lines(files.fastq_lines(reads(spark, sf_dir)), "read_id", path)
     return files.read_fastq(spark, path).select("name", "seq")
 
 
 @query(f"select concat('read', read_id) as read, concat('barcode', truth) as barcode, 0 as distance from ({READS})")
 def scan_assignment(spark, sf_dir):
-    path = _scratch(spark, "truth")
+    path = place(spark, "truth")
     lines = reads(spark, sf_dir).select("read_id", F.concat_ws("\t", "name", F.concat(F.lit("barcode"), "truth"), F.lit("0")).alias("value"))
     files.write_lines(lines, "read_id", path)
     return files.read_assignment(spark, path, header=False)
@@ -214,7 +239,7 @@ def weighted_levenshtein_unit(spark, sf_dir):
     return _true(spark, sf_dir).select("read_id", D.weighted_levenshtein(F.col("b"), F.col("r"), D.UNIT).alias("unit_cost"))
 
 
-@query()
+@query(f"select read_id, dist from ({_weighed(_TRUE_PAIRS, False)})")
 def weighted_levenshtein(spark, sf_dir):
     return _true(spark, sf_dir).select("read_id", D.weighted_levenshtein(F.col("b"), F.col("r"), COSTS).alias("dist"))
 
@@ -224,7 +249,7 @@ def weighted_sequence_levenshtein_unit(spark, sf_dir):
     return _true(spark, sf_dir).select("read_id", D.weighted_sequence_levenshtein(F.col("b"), F.col("r"), D.UNIT).alias("unit_cost"))
 
 
-@query()
+@query(f"select read_id, dist from ({_weighed(_TRUE_PAIRS)})")
 def weighted_sequence_levenshtein(spark, sf_dir):
     return _true(spark, sf_dir).select("read_id", D.weighted_sequence_levenshtein(F.col("b"), F.col("r"), COSTS).alias("dist"))
 
@@ -240,13 +265,18 @@ def _call(k: int, **options):
 
 
 QUERIES |= {f"call_k{k}": _call(k) for k in (4, 5, 6, 7)}
-QUERIES |= {"call_k7_levenshtein": _call(7, distance="levenshtein"), "call_k7_join": _call(7, plan="join"), "top2_assignment": _call(7)}
-ORACLE |= {"call_k7": _calls(7), "call_k7_join": _calls(7), "top2_assignment": _calls(7), "call_k7_levenshtein": _calls(7, "cast(levenshtein(b, r) as int)")}
+QUERIES |= {"call_k7_levenshtein": _call(7, distance="levenshtein"), "call_k7_join": _call(7, plan="join"), "call_k7_weighted": _call(7, costs=COSTS)}
+ORACLE |= {f"call_k{k}": _calls(k) for k in (4, 5, 6, 7)}
+ORACLE |= {"call_k7_levenshtein": _calls(7, lambda pairs: _measured(pairs, False)), "call_k7_join": _calls(7), "call_k7_weighted": _calls(7, _weighed)}
 
 
-@query()
-def call_k7_weighted(spark, sf_dir):
-    return C.call(*_pair(spark, sf_dir), 7, costs=COSTS)
+@query(f"select read_id, barcode1, distance1 from ({_calls(5)})")
+def top2_assignment(spark, sf_dir):
+    """The ranking alone, of distances that are already there."""
+    b, r = _pair(spark, sf_dir)
+    top = I.top_candidates(I.pseudo_distance(r, b, 5, LENGTH))
+    pairs = top.join(b.select("barcode_id", F.col("seq").alias("b")), "barcode_id").join(r.select("read_id", F.col("seq").alias("r")), "read_id")
+    return C.best_two(pairs.withColumn("dist", D.sequence_levenshtein(F.col("b"), F.col("r"))), r).select("read_id", "barcode1", "distance1")
 
 
 @query(f"select read_id from ({_calls(7)}) where distance1 is null or distance1 > {THRESHOLD}")
@@ -254,12 +284,12 @@ def two_step_unassigned(spark, sf_dir):
     return C.unassigned(C.call(*_pair(spark, sf_dir), 7), THRESHOLD).select("read_id")
 
 
-@query()
+@query(_two_step(7, 4))
 def two_step_7_4(spark, sf_dir):
     return C.run_method("7-4-mer-filter", *_pair(spark, sf_dir), THRESHOLD)
 
 
-@query()
+@query(_two_step(7, 5))
 def two_step_7_5(spark, sf_dir):
     return C.run_method("7-5-mer-filter", *_pair(spark, sf_dir), THRESHOLD)
 
