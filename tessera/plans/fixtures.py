@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.calling import spread_out
+
 LENGTH = 34
 THRESHOLD = 9
 
@@ -35,7 +37,7 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = spread_out(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     inner, light = _light("string")
     t = t.selectExpr(*[c.strip() for c in _columns(inner)]).selectExpr("read_id", "truth", f"{light} as light")
     return t.select("read_id", "truth", F.expr(f"array_join(transform(sequence(1, 34), p -> {_CHANGE}), '')").alias("seq"), F.expr("concat('read', read_id)").alias("name"))
