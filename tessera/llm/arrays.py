@@ -46,6 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns without nulls (fixed values: the hash's five primes and Spark's seed)."""
+    p1, p2, p3, p4, p5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(columns[0]), 42, U)
+    for c in columns:
+        x = c.astype(np.int64, copy=False).view(U) * p2
+        h = (h + p5 + U(8)) ^ ((x << U(31) | x >> U(33)) * p1)
+        h = (h << U(27) | h >> U(37)) * p1 + p4
+        h = (h ^ h >> U(33)) * p2
+        h = (h ^ h >> U(29)) * p3
+        h = h ^ h >> U(32)
+    return h.view(np.int64)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, CHUNK + 1)

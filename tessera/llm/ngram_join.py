@@ -17,9 +17,10 @@ partners:
 
 Members of a list are compared with the list's least member only.  Lists that
 still hold several components after that are compared with a few more members,
-and what even then holds several components pair by pair.  Nodes of one
-component are not compared again, and pairs whose parity sketches differ in
-more bits than linked sets can are never formed.  Every comparison that decides
+and what even then holds several components pair by pair, where two members of
+one largest list meet in that list alone and not in each that they share.
+Nodes of one component are not compared again, and pairs whose parity sketches
+differ in more bits than linked sets can are never formed.  Every comparison that decides
 is of whole sets.  Equal sets are one node throughout.
 """
 
@@ -42,8 +43,8 @@ WIDTH = 4
 NUM, DEN = 85, 100
 SKETCH = 4  # words of 64 bits
 #: Members of a list with which all others are compared, round by round; None: all that are left.
-REPS = (4, 32, None)
-PLACE = "node ^ (coalesce(doc_id, 0L) * 1000003L)"
+REPS = (4, None)
+PLACE = "xxhash64(node, coalesce(doc_id, 0L))"
 
 
 @cache
@@ -195,29 +196,12 @@ def _whole(width: int, want):
             for i, j, buf, at in A.chunks(batch.column("text")):
                 g, first = shingles(buf, at, width)
                 node = nodes_of(g, first)
-                hit = np.flatnonzero(maybe(want.value, node.view(np.int64) ^ (nums[i:j] * 1000003)) & (np.diff(first) > 0))
-                sets = [g[first[k] : first[k + 1]].tobytes() for k in hit.tolist()]
-                yield pa.record_batch([A.signed(node[hit]), pa.array(sets, pa.binary())], names=["node", "set"])
+                hit = np.flatnonzero(maybe(want.value, A.xxhash64(node.view(np.int64), nums[i:j])) & (np.diff(first) > 0))
+                size = np.diff(first)[hit]
+                cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), A.signed(g[A.spread(first[hit], size)]))
+                yield pa.record_batch([A.signed(node[hit]), cells], names=["node", "cells"])
 
-    return run, "node long, set binary"
-
-
-def _verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), A.U), np.frombuffer(y.as_buffer(), A.U)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                ok[k] = den * both >= num * (len(x) + len(y) - both)
-            ok = pa.array(ok)
-            yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
-
-    return run, "a long, b long"
+    return run, "node long, cells array<long>"
 
 
 def near(num: int, den: int) -> str:
@@ -233,7 +217,10 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, nu
     want = spark.sparkContext.broadcast(bitmap(ends, F.expr(PLACE)))
     sets = docs.mapInArrow(*_whole(width, want))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return kept(both.select("a", "b", "x", "y").mapInArrow(*_verify(num, den)), "links")
+    # row by row in the JVM, so that long sets never meet in one batch
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    linked = F.expr(f"{den}L * common >= {num}L * (size(x) + size(y) - common)")
+    return kept(both.where(linked).select("a", "b"), "links")
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -261,8 +248,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
         of = lists.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")).distinct()
         of = of.select("*", F.min("component").over(by).alias("c0"), F.max("component").over(by).alias("c1"), F.row_number().over(by.orderBy("node")).alias("nth"))
         of = kept(of.where("c0 < c1").drop("c0", "c1").join(nodes.drop("doc_id"), "node"), "open")
+        if not reps:
+            homes = of.join(of.groupBy("sig").agg(F.count("*").alias("members")), "sig").groupBy("node").agg(F.max(F.struct("members", "sig")).alias("home")).select("node", "home.sig")
+            old, of = of, kept(of.join(homes.toDF("node", "home"), "node"), "open")
+            drop(old)
         x, y = of.alias("x"), (of.where(F.col("nth") <= reps) if reps else of).alias("y")
-        apart = "x.component <> y.component" if reps else "x.component < y.component"
+        apart = "x.component <> y.component" if reps else "x.component < y.component and (x.home <> y.home or x.home = x.sig)"
         pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & F.expr(f"{apart} and {near(num, den)}"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         for done in tested:

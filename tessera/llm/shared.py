@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where none is set, one of our own is made and set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def place(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there and outlives executors."""
-    at = place(df.sparkSession, name)
-    df.write.parquet(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out._tessera_at = at
-    return out
+from tessera.sources.scratch import drop, folder, kept, place, remove
 
+BITS = 26
 
-def drop(*frames: DataFrame) -> None:
-    """Delete tables that ``kept`` wrote and nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._tessera_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bitmap", "drop", "folder", "kept", "maybe", "place", "remove"]
 
 
 def bitmap(df: DataFrame, key: Column, bits: int = BITS) -> np.ndarray:

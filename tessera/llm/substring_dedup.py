@@ -32,7 +32,7 @@ LENGTH = 13
 SEED = 5
 LAST = 2**63 - 1
 #: A block's place; ``_windows`` computes the same.
-PLACE = "key ^ (doc_id * 1000003L + start)"
+PLACE = "xxhash64(key, doc_id, start)"
 
 
 def anchors(w: A.Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def _windows(length: int, seed: int, joined, first):
             for i, _, buf, at in A.chunks(batch.column("text")):
                 w = A.words(buf, at, A.SPACED, lower=False)
                 key, doc, start, count = blocks(w, length, seed, joined.value)
-                hit = maybe(first.value, key.view(np.int64) ^ (nums[i + doc] * 1000003 + start - w.first[doc]))
+                hit = maybe(first.value, A.xxhash64(key.view(np.int64), nums[i + doc], start - w.first[doc]))
                 p = A.spread(start[hit], count[hit])
                 doc = w.doc[p]
                 rows = pa.array(i + doc)

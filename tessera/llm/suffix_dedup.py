@@ -116,7 +116,7 @@ def _blocks(length: int, seed: int):
 
 
 #: A block's place; ``_spans`` computes the same.
-PLACE = "key ^ (coalesce(doc_id, 0L) * 1000003L + start)"
+PLACE = "xxhash64(key, coalesce(doc_id, 0L), start)"
 
 
 def _spans(length: int, seed: int, bits):
@@ -129,7 +129,7 @@ def _spans(length: int, seed: int, bits):
             nums = ids.fill_null(0).to_numpy()
             for i, _, buf, at in A.chunks(batch.column("text")):
                 low, key, doc, start, count, own = cut(buf, at, length, seed)
-                place = key.view(np.int64) ^ (nums[i + doc] * 1000003 + start - at[doc])
+                place = A.xxhash64(key.view(np.int64), nums[i + doc], start - at[doc])
                 hit = np.flatnonzero(maybe(want, place))
                 spans = [buf[s:e].tobytes() for s, e in zip(start[hit].tolist(), (start[hit] + count[hit] - 1 + length).tolist(), strict=True)]
                 rows = pa.array(i + doc[hit])

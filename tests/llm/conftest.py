@@ -31,6 +31,9 @@ def corpus() -> list[tuple]:
     for i in range(30):
         out.append((n + 1 + i, text(rng.randint(1, 120))))
     out.append((n + 30, out[-1][1]))  # a row that is there twice
+    for i in (2**62, 2**63 - 2, -(2**62)):  # hashes for ids
+        out.append((i, f"{out[-3][1]} {passage} {base}"))
+        base = base.replace(words[0], words[1])
     rng.shuffle(out)
     return out
 

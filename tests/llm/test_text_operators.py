@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, ngram_join, secrets, substring_dedup, suffix_dedup
+from tessera.llm import arrays, decontaminate, ngram_join, secrets, substring_dedup, suffix_dedup
 
 
 def low(s):
@@ -81,6 +81,21 @@ def test_suffix_dedup(docs, rows, none, length):
     assert suffix_dedup.suffix_dedup(none, length).count() == 0
 
 
+def test_null_ids(spark, none):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text), (None, text + " more"), (4, text), (2**63 - 1, "x " + text)]
+    df = spark.createDataFrame([(i, t, 1, 2, 0.5, "x") for i, t in rows], none.schema)
+    assert {r.component_id for r in ngram_join.ngram_components(df).collect()} == {4}
+    assert {(r.doc_id, r.n_removed > 0) for r in suffix_dedup.suffix_dedup(df).collect()} == {(None, True), (4, True), (2**63 - 1, True)}
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(df).collect()} == {(None, 200), (4, 0), (2**63 - 1, 200)}
+
+
+def test_hash_is_sparks(spark):
+    rows = [(1, 2, -3), (2**63 - 1, -(2**63), 0), (0, 0, 0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a long, b long, c long").selectExpr("xxhash64(a, b, c)").collect()]
+    assert arrays.xxhash64(*np.array(rows, np.int64).T).tolist() == got
+
+
 def test_levels():
     rng = np.random.default_rng(4)
     index, all_, got = suffix_dedup.Levels(), [], []
