@@ -1,9 +1,11 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 The features are the distinct ``GRAMS``-character n-grams of a lower-cased text, hashed into ``2**BITS`` buckets.  A
-bucket's ratio r is log((1 + toxic texts with it) / (1 + all toxic)) - the same of the others; a text is the vector of r
-over its buckets, every bucket that a labelled text has.  A logistic regression on these vectors gives the score.  Its
-ridge is the one of ``RIDGES`` with the least log loss on a fifth of the labelled texts, after which all of them are fitted.
+bucket's ratio r is the log of its share of the toxic texts over its share of the others, both counts smoothed by
+some number of texts of the mixture of all labels: a bucket that few texts have, of which most texts have many, gets a small r.
+A text is the vector of r over its buckets, every bucket that a labelled text has.  A logistic regression on these vectors
+gives the score.  Smoothing and ridge are those of ``SETTINGS`` with the least log loss on a fifth of the labelled texts, after
+which all of them are fitted.
 
 The vectors stay on the executors: each step of the fit is a pass over them that brings home a gradient per partition,
 so the driver holds arrays of ``2**BITS`` numbers whatever the number and the lengths of the texts.
@@ -29,8 +31,9 @@ from tessera.llm.shared import kept
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 SAMPLE = 20_000
-RIDGES = (1.0, 0.1, 0.01)
-#: Passes of the choice of a ridge and of the last fit, partitions that send gradients, n-grams of a piece of work.
+#: Texts of smoothing, and ridge.
+SETTINGS = ((1.0, 0.01), (10.0, 0.01), (100.0, 0.001))
+#: Passes of the choice of a setting and of the last fit, partitions that send gradients, n-grams of a piece of work.
 CHOICE, LAST = 12, 6
 PARTS = 6
 PIECE = 1 << 20
@@ -147,7 +150,9 @@ def _gradients(sent):
 class Descent:
     """L-BFGS with a diagonal start, told a loss and a gradient of its ``trial`` at a time."""
 
-    def __init__(self, w: np.ndarray, ridge: float, curve: np.ndarray):
+    def __init__(self, w: np.ndarray, ridge: float, scale: np.ndarray, spread: np.ndarray):
+        """``scale``: of the features; ``spread``: their variance times that of the labels, both with the bias's at the end."""
+        self.scale, curve = scale, (spread * scale**2).astype(np.float32)
         self.ridge = np.append(np.full(len(w) - 1, ridge, np.float32), np.float32(0))
         self.start = 1 / (curve + self.ridge)
         self.w = self.trial = w
@@ -163,7 +168,7 @@ class Descent:
                 s, y = self.trial - self.w, grad - self.grad
                 if float(s @ y) > 1e-9 * float(y @ y):
                     self.pairs = [*self.pairs[-3:], (s, y)]
-            self.w, self.loss, self.grad, self.held, self.size = self.trial, loss, grad, held, 1.0 if np.isfinite(self.loss) else 1 / 64
+            self.w, self.loss, self.grad, self.held, self.size = self.trial, loss, grad, held, 1.0 if self.pairs else 1 / 64
             d, back = -grad, []
             for s, y in reversed(self.pairs):
                 back.append(float(s @ d) / float(s @ y))
@@ -180,36 +185,37 @@ class Descent:
         self.trial = self.w + np.float32(self.size) * self.step
 
 
-def logistic(rows: DataFrame, ratio: np.ndarray, share: np.ndarray, of: dict) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on rows(toxic, held, slots) times ratio; of: (toxic, held) to a number of rows."""
-    sc, scale = rows.sparkSession.sparkContext, np.append(ratio, 1).astype(np.float32)
+def logistic(rows: DataFrame, ratio, share: np.ndarray, of: dict) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on rows(toxic, held, slots) times ratio(smoothing); of: (toxic, held) to a number of rows."""
+    sc = rows.sparkSession.sparkContext
     total = sum(of.values())
     parts = rows.coalesce(PARTS)
 
     def told(runs: list[Descent], passes: int, apart: bool) -> None:
         held = sum(n for (_, h), n in of.items() if h) * apart
         for _ in range(passes):
-            sent = sc.broadcast(([((r.trial * scale)[:-1], float(r.trial[-1])) for r in runs], apart))
-            grad, more = np.zeros((len(runs), len(ratio))), np.zeros((len(runs), 3))
+            sent = sc.broadcast(([((r.trial * r.scale)[:-1], float(r.trial[-1])) for r in runs], apart))
+            grad, more = np.zeros((len(runs), len(share))), np.zeros((len(runs), 3))
             for batch in parts.mapInArrow(*_gradients(sent)).toArrow().to_batches():
                 for m, g, x in zip(*(c for c in batch.columns), strict=True):
                     grad[m.as_py()] += np.frombuffer(g.as_buffer(), np.float32)
                     more[m.as_py()] += np.frombuffer(x.as_buffer())
             sent.destroy()
             for m, r in enumerate(runs):
-                r.tell(more[m, 1] / (total - held), (np.append(grad[m], more[m, 0]) * scale / (total - held)).astype(np.float32), more[m, 2] / max(held, 1))
+                r.tell(more[m, 1] / (total - held), (np.append(grad[m], more[m, 0]) * r.scale / (total - held)).astype(np.float32), more[m, 2] / max(held, 1))
 
     p = sum(n for (y, _), n in of.items() if y) / total
-    curve = (np.append(share * (1 - share), 1) * p * (1 - p) * scale**2).astype(np.float32)
-    w = np.zeros(len(scale), np.float32)
+    spread = np.append(share * (1 - share), 1) * p * (1 - p)
+    w = np.zeros(len(spread), np.float32)
     w[-1] = np.log(p / (1 - p))
-    runs = [Descent(w, r, curve) for r in RIDGES]
+    runs = [Descent(w, ridge, np.append(ratio(prior), 1).astype(np.float32), spread) for prior, ridge in SETTINGS]
     told(runs, CHOICE, True)
     k = min(range(len(runs)), key=lambda m: runs[m].held)
-    last = Descent(runs[k].w, RIDGES[k], curve)
+    last = Descent(runs[k].w, SETTINGS[k][1], runs[k].scale, spread)
+    last.pairs = runs[k].pairs
     del runs
     told([last], LAST, False)
-    return (last.w * scale)[:-1].astype(float), float(last.w[-1])
+    return (last.w * last.scale)[:-1].astype(float), float(last.w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -231,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(slot, np.zeros(1), float(np.log(p / (1 - p))))
     counts = texts.mapInArrow(*_bucket_counts()).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
-    ratio = np.log((1 + toxic) / (1 + of[1])) - np.log((1 + clean) / (1 + of[0]))
+    part = of[1] / (of[0] + of[1])
+    ratio = lambda prior: np.log(toxic / part + prior) - np.log(clean / (1 - part) + prior)
     slot[bucket] = np.arange(len(bucket))
     rows = texts.mapInArrow(*_vectors(spark.sparkContext.broadcast(slot))).persist(StorageLevel.MEMORY_AND_DISK)
     w, b = logistic(rows, ratio, (clean + toxic) / (of[0] + of[1]), split)
