@@ -34,9 +34,11 @@ SAMPLE = 20_000
 #: Texts of smoothing, and ridge.
 SETTINGS = ((1.0, 0.01), (10.0, 0.01), (100.0, 0.001))
 #: Passes of the choice of a setting and of the last fit, partitions that send gradients, n-grams of a piece of work.
-CHOICE, LAST = 12, 6
+CHOICE, LAST = 12, 10
 PARTS = 6
 PIECE = 1 << 20
+#: Groups of 2**16 slots.
+HIGH = max(1, 2**BITS >> 16)
 THRESHOLD = 0.3
 #: Labels to learn from; the others are held out.
 TAUGHT = "crc32(cast(doc_id as string)) % 4 <> 2"
@@ -109,8 +111,12 @@ def _vectors(slot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, doc, k in present(batch.column("text"), slot.value):
-                cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32) * np.int32(4)
-                sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(k.astype(np.int32))])
+                # per text: how many slots there are in each HIGH-th, then the low 16 bits of all
+                cut = np.searchsorted(doc, np.arange(j - i + 1))
+                size = np.bincount(doc * HIGH + (k >> 16), minlength=(j - i) * HIGH).astype(np.uint32).view(np.uint16).reshape(j - i, -1)
+                cells = np.insert(k.astype(np.uint16), np.repeat(cut[:-1], size.shape[1]), size.ravel())
+                cut = (2 * cut + 4 * HIGH * np.arange(j - i + 1)).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(cells)])
                 yield pa.record_batch([batch.column("toxic").slice(i, j - i), batch.column("held").slice(i, j - i), sets], names=["toxic", "held", "slots"])
 
     return run, "toxic int, held boolean, slots binary"
@@ -127,13 +133,17 @@ def _gradients(sent):
             toxic = batch.column("toxic").to_numpy().astype(float)
             learn = ~(batch.column("held").to_numpy(zero_copy_only=False) & apart)
             sets = batch.column("slots")
-            cut = np.frombuffer(sets.buffers()[1], np.int32, len(sets) + 1, 4 * sets.offset) // 4
-            data = np.frombuffer(sets.buffers()[2], np.int32) if cut[-1] else np.zeros(0, np.int32)
+            cut = np.frombuffer(sets.buffers()[1], np.int32, len(sets) + 1, 4 * sets.offset) // 2
+            data = np.frombuffer(sets.buffers()[2], np.uint16, cut[-1])
             a = 0
             while a < len(sets):
                 b = max(a + 1, int(np.searchsorted(cut, cut[a] + PIECE, "right")) - 1)
-                k, size, y = data[cut[a] : cut[b]], np.diff(cut[a : b + 1]), toxic[a:b]
-                row = np.repeat(np.arange(b - a), size)
+                heads = np.zeros(cut[b] - cut[a], bool)
+                heads[(cut[a:b, None] - cut[a] + np.arange(2 * HIGH)).ravel()] = True
+                part = data[cut[a] : cut[b]]
+                size, y = part[heads].view(np.uint32).reshape(b - a, HIGH).astype(np.int64), toxic[a:b]
+                k = part[~heads] + np.repeat(np.tile(np.arange(HIGH, dtype=np.int32) << 16, b - a), size.ravel())
+                row = np.repeat(np.arange(b - a), size.sum(1))
                 for m, (weight, bias) in enumerate(models):
                     z = np.clip(bias + np.bincount(row, weight[k], b - a), -30, 30)
                     miss = np.where(learn[a:b], 1 / (1 + np.exp(-z)) - y, 0)
