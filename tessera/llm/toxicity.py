@@ -51,9 +51,9 @@ class Model:
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        out = [np.zeros(0)]
-        for i, j, doc, slot in present(column, self.slot):
-            out.append(self.bias + np.bincount(doc, self.weight[slot], j - i))
+        out, weight = [np.zeros(0)], np.where(self.slot >= 0, self.weight[self.slot], 0)
+        for i, j, doc, bucket in present(column):
+            out.append(self.bias + np.bincount(doc, weight[bucket], j - i))
         return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30)))
 
 
@@ -74,29 +74,26 @@ def buckets(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield doc[: len(b)][ok], h[ok].astype(np.int64)
 
 
-def present(column: pa.Array, slot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, text, slot): each slot of each text once."""
+def present(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, text, bucket): each bucket of each text once, in order."""
     for i, j, buf, at in A.chunks(column):
-        got = [np.zeros(0, np.int64)]
-        for doc, h in buckets(buf, at):
-            k = slot[h]
-            hit = k >= 0
-            got.append(doc[hit] << 32 | k[hit])
+        kind = np.int32 if (j - i) << BITS < 2**31 else np.int64
+        got = [np.zeros(0, kind), *(doc.astype(kind) << kind(BITS) | h.astype(kind) for doc, h in buckets(buf, at))]
         both = np.concatenate(got)
+        del got
         both.sort()
         new = np.ones(len(both), bool)
         new[1:] = both[1:] != both[:-1]
         both = both[new]
-        yield i, j, both >> 32, both & 0xFFFFFFFF
+        yield i, j, both >> kind(BITS), both & kind(2**BITS - 1)
 
 
 def _bucket_counts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, 2**BITS), np.int64)
-        every = np.arange(2**BITS)
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
-            for i, _, doc, k in present(batch.column("text"), every):
+            for i, _, doc, k in present(batch.column("text")):
                 for c in (0, 1):
                     count[c] += np.bincount(k[toxic[i + doc] == c], minlength=2**BITS)
         k = np.flatnonzero(count.any(0))
@@ -110,7 +107,8 @@ def _bucket_counts():
 def _vectors(slot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, doc, k in present(batch.column("text"), slot.value):
+            for i, j, doc, k in present(batch.column("text")):
+                k = slot.value[k]  # every bucket here is one of those counted
                 # per text: how many slots there are in each HIGH-th, then the low 16 bits of all
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 size = np.bincount(doc * HIGH + (k >> 16), minlength=(j - i) * HIGH).astype(np.uint32).view(np.uint16).reshape(j - i, -1)
@@ -251,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ratio = lambda prior: np.log(toxic / part + prior) - np.log(clean / (1 - part) + prior)
     slot[bucket] = np.arange(len(bucket))
     rows = texts.mapInArrow(*_vectors(spark.sparkContext.broadcast(slot))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()  # by itself, so that no task runs two Python workers
     w, b = logistic(rows, ratio, (clean + toxic) / (of[0] + of[1]), split)
     rows.unpersist()
     return Model(slot, w, b)
