@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(of) < 2:
         p = float(np.clip(next(iter(of), 0), 1e-9, 1 - 1e-9))
         return Model(slot, np.zeros(1), float(np.log(p / (1 - p))))
-    counts = texts.mapInArrow(*_bucket_counts()).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counts = texts.mapInArrow(*_bucket_counts()).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow().sort_by("bucket")  # slots have the order of buckets
     bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
     part = of[1] / (of[0] + of[1])
     ratio = lambda prior: np.log(toxic / part + prior) - np.log(clean / (1 - part) + prior)
