@@ -51,7 +51,7 @@ def opening(h: np.ndarray, size: int) -> np.ndarray:
     return A.grams(h, min(size, 2))
 
 
-def test_suffixes(ids: np.ndarray, texts: pa.Array, length: int) -> tuple[list[Suffixes], A.Words]:
+def test_suffixes(texts: pa.Array, length: int) -> tuple[list[Suffixes], A.Words]:
     buf, at = A.utf8(texts)
     w = A.words(buf, at, A.ALNUM, lower=True)
     w.hash |= A.U(1)  # no key ends in a zero byte
@@ -70,12 +70,12 @@ def test_suffixes(ids: np.ndarray, texts: pa.Array, length: int) -> tuple[list[S
         opens = np.zeros(1 << 14, np.int64)
         k = opening(w.hash, size)[p].view(np.int64) & (len(opens) * 64 - 1)
         np.bitwise_or.at(opens, k >> 6, np.int64(1) << (k & 63))
-        out.append(Suffixes(size, opens, keys[first], np.append(first, len(p)), ids[w.doc[p]], p))
+        out.append(Suffixes(size, opens, keys[first], np.append(first, len(p)), w.doc[p], p))
     return out, w
 
 
 def search(w: A.Words, tests: list[Suffixes], items: A.Words) -> list[np.ndarray]:
-    """(text, item_id, start word, item's start word, words) of every longest match that starts at its window, not being the inside of a longer one with the same alignment."""
+    """(text, row of the item, start word, item's start word, words) of every longest match that starts at its window, not being the inside of a longer one with the same alignment."""
     found = [np.zeros((0, 5), np.int64)]
     for t in tests:
         if len(w.hash) < t.size:
@@ -118,7 +118,7 @@ def _matches(tests):
     schema = pa.schema([("doc_id", pa.int64()), ("dh", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(MATCH))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes, items = tests.value
+        suffixes, items, item_ids = tests.value
         for batch in batches:
             n, sizes, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for i, j, buf, at in A.chunks(batch.column("text")):
@@ -131,7 +131,7 @@ def _matches(tests):
                 rows.append(m)
             m = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m[:, k])) for k in range(1, 5)], fields=list(MATCH))
+            values = pa.StructArray.from_arrays([item_ids.take(pa.array(m[:, 1])), *[pa.array(np.ascontiguousarray(m[:, k])) for k in range(2, 5)]], fields=list(MATCH))
             yield pa.record_batch([batch.column("doc_id"), batch.column("dh"), pa.array(np.concatenate(n)), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=schema)
 
     return run, "doc_id long, dh long, n_words long, matches array<struct<item_id:long,start:long,item_start:long,length:long>>"
@@ -141,7 +141,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, bl
     """(doc_id, dh, n_words, matches) of every document; matches have item_id, start, item_start and length, in words, and are as long as they can be.
 
     Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters.  An item of fewer than ``length`` words
-    matches as a whole; items and documents without words, nulls included, match nothing.
+    matches as a whole; items and documents without words, nulls included, match nothing.  Items whose item_id is null are
+    found with a null item_id.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dh"))
@@ -151,8 +152,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, bl
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b) if blocks > 1 else items
         table = part.toArrow()
-        ids = table["item_id"].combine_chunks().fill_null(-1).to_numpy()
-        tests = spark.sparkContext.broadcast(test_suffixes(ids, table["item_text"].combine_chunks(), length))
+        tests = spark.sparkContext.broadcast((*test_suffixes(table["item_text"].combine_chunks(), length), table["item_id"].combine_chunks()))
         found = docs.mapInArrow(*_matches(tests))
         if out is None:
             out = found
@@ -180,8 +180,8 @@ def _digest():
                 start, length = v.field("start").to_numpy(), v.field("length").to_numpy()
                 hit[i] = A.covered(n[i], start, start + length).sum()
                 longest[i] = length.max()
-                ids = sorted({str(x) for x in v.field("item_id").to_pylist()})
-                items[i], digest[i] = len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+                ids = set(v.field("item_id").to_pylist())
+                items[i], digest[i] = len(ids), hashlib.sha256(",".join(sorted(str(x) for x in ids if x is not None)).encode()).hexdigest()
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(hit), pa.array(items), pa.array(digest), pa.array(hit > 0), pa.array(longest)], schema=schema)
 
     return run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessera.llm.shared import kept
 
@@ -31,28 +32,24 @@ LOGIN = r"""(?i)(user|username|login|account|client_?id)["']?\x20*[:=]\x20*["']?
 BARE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+"""
 SPANS = "array<struct<s:int,k:int,e:int>>"
+CELLS = "array<struct<k:int,i:int,gap:int,hit:int,value:int,gap_b:int,hit_b:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least: int = 0, below: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (s, k, e); with ``least`` or ``below``, only those whose second group has so many characters or fewer than that."""
+def lengths(text: Column, pattern: str, kind: int) -> Column:
+    """Of each leftmost non-overlapping match: kind, number, lengths of the gap before it, of itself and of its second group, and the first two in bytes.
+
+    Lengths alone, whose running sums are places: no array grows match by match.
+    """
     cells = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
-    if least or below:
+    value = F.lit(0)
+    if kind == 0:
         cells.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        take = x["hit"].isNotNull()
-        if least:
-            take = take & (F.length(x["value"]) >= least)
-        if below:
-            take = take & (F.length(x["value"]) < below)
-        one = F.array(F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(take, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def cell(x: Column, i: Column) -> Column:
+        of = F.length(x["value"]) if kind == 0 else value
+        return F.struct(F.lit(kind).alias("k"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), of.alias("value"), F.octet_length(x["gap"]).alias("gap_b"), F.octet_length(x["hit"]).alias("hit_b"))
 
-    none = F.array().cast(SPANS)
-    found = F.aggregate(F.arrays_zip(*cells), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), F.transform(F.arrays_zip(*cells), cell)).otherwise(F.array().cast(CELLS))
 
 
 def listed(of: Column) -> Column:
@@ -61,47 +58,61 @@ def listed(of: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(of), lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _found(docs: DataFrame, scope: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dh) of every row of docs, and (doc_id, dh, k, s, e, sb, eb), sb and eb in bytes, of every base span and linked weak span of each different row."""
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), t.alias("text"))
+    patterns = (ASSIGN, ACCESS, HEX, LOGIN, BARE, ENDPOINT)
+    rows = kept(rows.select("doc_id", "dh", F.concat(*[lengths(F.col("text"), p, k) for k, p in enumerate(patterns)]).alias("cells")), "secrets")
+    row, place = ["doc_id", "dh"], W.partitionBy("doc_id", "dh")
+    cells = rows.where(F.size("cells") > 0).dropDuplicates(row).select(*row, F.inline("cells")).where("hit is not null")
+    by = W.partitionBy("doc_id", "dh", "k").orderBy("i")
+    p = cells.withColumns({"e": F.sum(F.col("gap") + F.col("hit")).over(by).cast("int"), "eb": F.sum(F.col("gap_b") + F.col("hit_b")).over(by).cast("int")})
+    p = p.select(*row, F.when((F.col("k") == 0) & (F.col("value") < LEAST), SHORT).otherwise(F.col("k")).alias("k"), (F.col("e") - F.col("hit")).alias("s"), "e", (F.col("eb") - F.col("hit_b")).alias("sb"), "eb")
+    # a weak span that a base span overlaps is none: one that starts no later and ends behind its start, or one that starts in it
+    base = F.col("k") < BASE
+    before = F.max(F.when(base, F.col("e"))).over(place.orderBy("s").rangeBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("s"))).over(place.orderBy(F.desc("s")).rangeBetween(W.unboundedPreceding, -1))
+    p = p.withColumns({"before": before, "after": after}).where(base | ~(F.coalesce(F.col("before") > F.col("s"), F.lit(False)) | F.coalesce(F.col("after") < F.col("e"), F.lit(False))))
+    p = kept(p.drop("before", "after"), "spans")
+    # the interval join of weak spans with identifiers and secrets within their scope
+    parts = p.select(*row, F.col("s").alias("ps"), F.col("k").isin(1, 3).alias("is_id"), F.col("k").isin(0, 2, 4, SHORT).alias("is_secret")).where("is_id or is_secret")
+    parts = parts.withColumn("cell", F.explode(F.array(*[F.floor(F.col("ps") / scope) + k for k in (-1, 0, 1)])))
+    weak = p.where(F.col("k") >= BASE).withColumn("cell", F.floor(F.col("s") / scope))
+    near = weak.alias("w").join(parts.alias("p"), F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.dh") == F.col("p.dh")) & (F.col("w.cell") == F.col("p.cell")) & (F.abs(F.col("ps") - F.col("s")) <= scope))
+    columns = [*row, "k", "s", "e", "sb", "eb"]
+    near = near.groupBy(*[F.col(f"w.{c}").alias(c) for c in columns]).agg(F.max("is_id").alias("has_id"), F.max("is_secret").alias("has_secret"))
+    keep = F.when(F.col("k") == 3, F.col("has_secret")).when(F.col("k").isin(4, SHORT), F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
+    return rows.select(*row), p.where(F.col("k") < BASE).select(columns).union(near.where(keep).select(columns))
+
+
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, dh, base, weak) of every row: arrays of spans (s, k, e), k an index of KINDS or SHORT; dh is xxhash64 of the text.
 
     A null text is empty and has none.  Rows that are there twice give rows twice.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), text.alias("text"))
-    t = F.col("text")
-    base = F.concat(spans(t, ASSIGN, 0, LEAST), spans(t, ACCESS, 1), spans(t, HEX, 2))
-    weak = F.concat(spans(t, LOGIN, 3), spans(t, BARE, 4), spans(t, ENDPOINT, 5), spans(t, ASSIGN, SHORT, below=LEAST))
-    rows = kept(rows.select("doc_id", "dh", base.alias("base"), weak.alias("weak")), "secrets")
-    some = rows.where(F.size("weak") > 0).distinct()
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
-    some = some.withColumn("weak", clear).where(F.size("weak") > 0)
-    parts = some.select("doc_id", "dh", F.explode(F.concat("base", "weak")).alias("p"))
-    parts = parts.select("doc_id", "dh", F.col("p.s").alias("ps"), F.col("p.k").isin(1, 3).alias("is_id"), F.col("p.k").isin(0, 2, 4, SHORT).alias("is_secret")).where("is_id or is_secret")
-    parts = parts.withColumn("cell", F.explode(F.array(*[F.floor(F.col("ps") / scope) + k for k in (-1, 0, 1)])))
-    weak = some.select("doc_id", "dh", F.explode("weak").alias("w")).withColumn("cell", F.floor(F.col("w.s") / scope))
-    far = F.abs(F.col("ps") - F.col("w.s"))
-    near = weak.join(parts, F.expr("true") & weak["doc_id"].eqNullSafe(parts["doc_id"]) & (weak["dh"] == parts["dh"]) & (weak["cell"] == parts["cell"]) & (far <= scope))
-    near = near.groupBy(weak["doc_id"], weak["dh"], "w").agg(F.max("is_id").alias("has_id"), F.max("is_secret").alias("has_secret"))
-    keep = F.when(F.col("w.k") == 3, F.col("has_secret")).when(F.col("w.k").isin(4, SHORT), F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
-    linked = near.where(keep).groupBy("doc_id", "dh").agg(F.collect_list("w").alias("linked")).toDF("c_id", "c_dh", "linked")
-    out = rows.join(linked, rows["doc_id"].eqNullSafe(linked["c_id"]) & (rows["dh"] == linked["c_dh"]), "left")
-    return out.select("doc_id", "dh", "base", F.coalesce("linked", F.array().cast(SPANS)).alias("weak"))
+    rows, found = _found(docs, scope)
+    one = F.struct("s", "k", "e")
+    lists = found.groupBy("doc_id", "dh").agg(F.collect_list(F.when(F.col("k") < BASE, one)).alias("base"), F.collect_list(F.when(F.col("k") >= BASE, one)).alias("weak")).toDF("c_id", "c_dh", "base", "weak")
+    out = rows.join(lists, rows["doc_id"].eqNullSafe(lists["c_id"]) & (rows["dh"] == lists["c_dh"]), "left")
+    return out.select("doc_id", "dh", *[F.coalesce(c, F.array().cast(SPANS)).alias(c) for c in ("base", "weak")])
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with ``mark`` in place of every found span of their text; overlapping spans become one.  A null text stays null."""
-    found = find_secrets(docs).select("doc_id", "dh", F.array_sort(F.concat("base", "weak")).alias("cuts")).where(F.size("cuts") > 0).distinct().toDF("c_id", "c_dh", "c_cuts")
-    found = kept(found, "cuts")
-    names = docs.columns
-    both = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_dh")), "left")
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["s"] >= acc["at"], F.concat(F.col("text").substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    end = F.aggregate("c_cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.transform(F.array(end), lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))))[0]
-    return both.select(*[F.when(F.col("c_cuts").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names])
+    found = _found(docs, SCOPE)[1]
+    by = W.partitionBy("doc_id", "dh").orderBy("s", "k")
+    first = F.coalesce(F.col("s") >= F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = found.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "dh", "run").agg(F.min("sb").alias("sb"), F.max("eb").alias("eb"))
+    cuts = kept(runs.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list(F.struct("sb", "eb"))).alias("c_cuts")).toDF("c_id", "c_dh", "c_cuts"), "cuts")
+    both = docs.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_dh")), "left")
+    data, c = F.col("text").cast("binary"), F.col("c_cuts")
+    last = lambda i: F.when(i > 0, F.get(c, i - 1)["eb"]).otherwise(F.lit(0))
+    parts = F.transform(c, lambda x, i: F.substring(data, last(i) + 1, x["sb"] - last(i)).cast("string"))
+    tail = F.substring(data, F.get(c, F.size(c) - 1)["eb"] + 1, F.octet_length("text")).cast("string")
+    clean = F.concat(F.array_join(parts, mark), F.lit(mark), tail)
+    return both.select(*[F.when(c.isNotNull(), clean).otherwise(F.col("text")).alias("text") if name == "text" else F.col(name) for name in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -199,3 +199,20 @@ def test_short_items_and_clean_documents(spark, none):
     bench = spark.createDataFrame([(1, "of the"), (2, "two three four five")], "item_id long, text string")
     left = lambda **options: sorted(r.doc_id for r in decontaminate.decontaminate(df, bench, **options).collect())
     assert left() == [] and left(least=4) == [0, 1]
+
+
+def test_null_items(spark, none):
+    df = spark.createDataFrame([(1, "one two three", 1, 2, 0.5, "x")], none.schema)
+    bench = spark.createDataFrame([(None, "one"), (-1, "two"), (5, "none of it")], "item_id long, text string")
+    r = decontaminate.find_matches(df, bench).mapInArrow(*decontaminate._digest()).first()
+    assert (r.n_hit, r.n_items, r.items_sha256) == (2, 2, sha(b"-1"))
+
+
+def test_many_secrets_in_one_text(spark, none):
+    n = 4000
+    text = " ".join(f"ü https://x.example/{i} password=abcdefgh{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text, 1, 2, 0.5, "x"), (None, "secret: abcdefghi", 1, 2, 0.5, "x")], none.schema)
+    got = {r.doc_id: (len(r.base), len(r.weak)) for r in secrets.find_secrets(df).collect()}
+    assert got == {1: (n, 0), None: (1, 0)}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean == {1: " ".join(f"ü https://x.example/{i} [SECRET]" for i in range(n)), None: "[SECRET]"}
