@@ -41,7 +41,7 @@ from tessera.llm.shared import bitmap, drop, kept, maybe
 
 WIDTH = 4
 NUM, DEN = 85, 100
-SKETCH = 4  # words of 64 bits
+SKETCH, WIDE = 4, 32  # words of 64 bits
 #: Members of a list with which all others are compared, round by round; None: all that are left.
 REPS = (4, None)
 PLACE = "xxhash64(node, coalesce(doc_id, 0L))"
@@ -101,16 +101,16 @@ def nodes_of(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return A.mix(totals(A.mix(g), first) + n.astype(A.U))
 
 
-def sketches(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+def sketches(g: np.ndarray, first: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """Parity of the elements that fall on each bit: two sets differ in at least as many elements as bits."""
-    n = len(first) - 1
-    out = np.zeros((n, SKETCH), np.int64)
-    for i in range(0, n, 4096):
-        j = min(n, i + 4096)
+    n, bits, step = len(first) - 1, 64 * words, (1 << 14) // words
+    out = np.zeros((n, words), np.int64)
+    for i in range(0, n, step):
+        j = min(n, i + step)
         part = g[first[i] : first[j]]
         row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-        bit = (A.mix(part + A.U(7)) & A.U(64 * SKETCH - 1)).astype(np.int64)
-        odd = (np.bincount(row * 64 * SKETCH + bit, minlength=(j - i) * 64 * SKETCH) & 1).astype(np.uint8)
+        bit = (A.mix(part + A.U(7)) & A.U(bits - 1)).astype(np.int64)
+        odd = (np.bincount(row * bits + bit, minlength=(j - i) * bits) & 1).astype(np.uint8)
         out[i:j] = np.packbits(odd.reshape(j - i, -1), axis=1).view(np.int64)
     return out
 
@@ -169,9 +169,10 @@ def _sets(width: int):
             for i, j, buf, at in A.chunks(batch.column("text")):
                 g, first = shingles(buf, at, width)
                 s = sketches(g, first)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)]], names=names)
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * (j - i) + 1, WIDE, np.int32)), pa.array(sketches(g, first, WIDE).ravel()))
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)], wide], names=[*names, "wide"])
 
-    return run, ", ".join(f"{c} long" for c in names)
+    return run, ", ".join([*[f"{c} long" for c in names], "wide array<long>"])
 
 
 def _lists(width: int, num: int, den: int):
@@ -210,17 +211,28 @@ def near(num: int, den: int) -> str:
     return f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {den + num} * ({odd}) <= {den - num} * (x.n + y.n)"
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link, as a table; a pair may be there twice."""
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, table: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link, as a table; a pair may be there twice.
+
+    Sets are moved for pairs that also fulfil the bound on odd bits of their wide sketches.
+    """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
+    e = ends(pairs).toDF("e_node", "e_id")
+    wide = table.join(e, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("e_id"))).select("node", "n", "wide").dropDuplicates(["node"])
+    both = pairs.join(wide.toDF("a", "na", "x"), "a").join(wide.toDF("b", "nb", "y"), "b")
+    odd = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = kept(both.where((den + num) * odd <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b"), "close")
+    ends = ends(pairs)
     want = spark.sparkContext.broadcast(bitmap(ends, F.expr(PLACE)))
     sets = docs.mapInArrow(*_whole(width, want))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     # row by row in the JVM, so that long sets never meet in one batch
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     linked = F.expr(f"{den}L * common >= {num}L * (size(x) + size(y) - common)")
-    return kept(both.where(linked).select("a", "b"), "links")
+    out = kept(both.where(linked).select("a", "b"), "links")
+    drop(pairs)
+    return out
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -241,7 +253,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     stars = lists.where("node <> rep").select("node", "rep").distinct()
     stars = stars.join(x, F.col("x.node") == stars["node"]).join(y, F.col("y.node") == stars["rep"]).where(near(num, den))
     stars = kept(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "pairs")
-    links = verified(docs, stars, nodes, width, num, den)
+    links = verified(docs, stars, nodes, table, width, num, den)
     comps = kept(components(links), "components")
     tested = [stars]
     for reps in REPS:
@@ -261,7 +273,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
         tested.append(kept(pairs, "pairs"))
         drop(of)
         if not tested[-1].isEmpty():
-            late, old = verified(docs, tested[-1], nodes, width, num, den), comps
+            late, old = verified(docs, tested[-1], nodes, table, width, num, den), comps
             comps = kept(components(old.toDF("a", "b").union(late)), "components")
             drop(old, late)
     drop(lists, links, *tested)
