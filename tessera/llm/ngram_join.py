@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -292,7 +293,15 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     gone = kept(gone.select(F.col("doc_id").alias("g_id"), F.col("dh").alias("g_dh")).distinct(), "gone")
     twice = kept(rows.groupBy("doc_id", "dh").agg(F.count("*").alias("n")).where("n > 1").toDF("t_id", "t_dh", "n").select("t_id", "t_dh"), "twice")
     same = lambda a, b: F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
-    out = docs.join(gone, same("g_id", "g_dh"), "left_anti")
+    # only rows that may be gone are moved; the texts of all others stay where they are read
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.col("g_dh")))
+
+    @F.pandas_udf("boolean")
+    def near_gone(dh: pd.Series) -> pd.Series:
+        return pd.Series(maybe(sent.value, dh.to_numpy()))
+
+    flag = near_gone(F.xxhash64("text"))
+    out = docs.where(~flag).unionByName(docs.where(flag).join(gone, same("g_id", "g_dh"), "left_anti"))
     if twice.isEmpty():
         return out
     again = out.join(twice, same("t_id", "t_dh"), "left_semi").dropDuplicates(["doc_id", "text"])
