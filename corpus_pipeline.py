@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The first stage's classifier has no SQL form; tests hold each stage against brute force.
+#: The first stage's classifier has no SQL form; tests hold the operators of the stages against brute force, a round trip or held-out labels.
 ORACLE_SQL = None
 
 
