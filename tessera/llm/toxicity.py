@@ -35,7 +35,7 @@ SAMPLE = 20_000
 SETTINGS = ((1.0, 0.01), (100.0, 0.001))
 #: Passes of the choice of a setting and of the last fit, partitions that send gradients, n-grams of a piece of work.
 CHOICE, LAST = 12, 10
-PARTS = 6
+PARTS = 3
 PIECE = 1 << 20
 #: Groups of 2**16 slots.
 HIGH = max(1, 2**BITS >> 16)
@@ -161,16 +161,17 @@ class Descent:
     def __init__(self, w: np.ndarray, ridge: float, scale: np.ndarray, spread: np.ndarray):
         """``scale``: of the features; ``spread``: their variance times that of the labels, both with the bias's at the end."""
         self.scale, curve = scale, (spread * scale**2).astype(np.float32)
-        self.ridge = np.append(np.full(len(w) - 1, ridge, np.float32), np.float32(0))
-        self.start = 1 / (curve + self.ridge)
+        self.ridge = np.float32(ridge)
+        curve[:-1] += self.ridge  # the bias has none
+        self.start = 1 / curve
         self.w = self.trial = w
         self.pairs: list = []
         self.loss = self.held = np.inf
         self.slope, self.size = 0.0, 1.0  # of the trial; the first step is short, as n-grams of a word come together
 
     def tell(self, loss: float, grad: np.ndarray, held: float) -> None:
-        loss += float((self.ridge * self.trial) @ self.trial) / 2
-        grad = grad + self.ridge * self.trial
+        loss += float(self.ridge * (self.trial[:-1] @ self.trial[:-1])) / 2
+        grad[:-1] += self.ridge * self.trial[:-1]
         if loss <= self.loss + 1e-4 * self.size * self.slope:
             if np.isfinite(self.loss):
                 s, y = self.trial - self.w, grad - self.grad
@@ -204,16 +205,18 @@ def logistic(rows: DataFrame, ratio, share: np.ndarray, of: dict) -> tuple[np.nd
         for _ in range(passes):
             sent = sc.broadcast(([((r.trial * r.scale)[:-1], float(r.trial[-1])) for r in runs], apart))
             grad, more = np.zeros((len(runs), len(share)), np.float32), np.zeros((len(runs), 3))
-            for batch in parts.mapInArrow(*_gradients(sent)).toArrow().to_batches():
-                for m, g, x in zip(*(c for c in batch.columns), strict=True):
-                    grad[m.as_py()] += np.frombuffer(g.as_buffer(), np.float32)
-                    more[m.as_py()] += np.frombuffer(x.as_buffer())
+            got = parts.mapInArrow(*_gradients(sent)).toArrow()
+            for m, g, x in (row for batch in got.to_batches() for row in zip(*batch.columns, strict=True)):
+                grad[m.as_py()] += np.frombuffer(g.as_buffer(), np.float32)
+                more[m.as_py()] += np.frombuffer(x.as_buffer())
+            del got, m, g, x  # before the steps, which need room of their own
             sent.destroy()
+            sc._jvm.System.gc()  # else the driver's heap fills with gradients of past passes, up to all that it may have
             for m, r in enumerate(runs):
                 r.tell(more[m, 1] / (total - held), (np.append(grad[m], more[m, 0]) * r.scale / (total - held)).astype(np.float32), more[m, 2] / max(held, 1))
 
     p = sum(n for (y, _), n in of.items() if y) / total
-    spread = np.append(share * (1 - share), 1) * p * (1 - p)
+    spread = (np.append(share * (1 - share), 1) * p * (1 - p)).astype(np.float32)
     w = np.zeros(len(spread), np.float32)
     w[-1] = np.log(p / (1 - p))
     runs = [Descent(w, ridge, np.append(ratio(prior), 1).astype(np.float32), spread) for prior, ridge in SETTINGS]
@@ -244,14 +247,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         p = float(np.clip(next(iter(of), 0), 1e-9, 1 - 1e-9))
         return Model(slot, np.zeros(1), float(np.log(p / (1 - p))))
     counts = texts.mapInArrow(*_bucket_counts()).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow().sort_by("bucket")  # slots have the order of buckets
-    bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
+    bucket, clean, toxic = (counts[c].to_numpy().astype(np.int32) for c in ("bucket", "clean", "toxic"))
+    del counts
     part = of[1] / (of[0] + of[1])
     ratio = lambda prior: np.log(toxic / part + prior) - np.log(clean / (1 - part) + prior)
     slot[bucket] = np.arange(len(bucket))
-    rows = texts.mapInArrow(*_vectors(spark.sparkContext.broadcast(slot))).persist(StorageLevel.MEMORY_AND_DISK)
+    sent = spark.sparkContext.broadcast(slot)
+    rows = texts.mapInArrow(*_vectors(sent)).persist(StorageLevel.MEMORY_AND_DISK)
     rows.count()  # by itself, so that no task runs two Python workers
-    w, b = logistic(rows, ratio, (clean + toxic) / (of[0] + of[1]), split)
+    w, b = logistic(rows, ratio, ((clean + toxic) / (of[0] + of[1])).astype(np.float32), split)
     rows.unpersist()
+    sent.unpersist()
+    pa.default_memory_pool().release_unused()
     return Model(slot, w, b)
 
 
