@@ -20,29 +20,19 @@ def mutate(seq: str, p: tuple[float, float, float], length: int | None, rng: np.
     random bases or cut to ``length``.  Otherwise the three errors exclude each other and the copy has the barcode's length.
     """
     ins, dele, sub = p
+    # by the last error: the draws below which the next is an insertion, and else a deletion
+    bounds = {"": (ins, dele), "+": (ins + dele, 0.0), "-": (0.0, ins + dele)} if compat else dict.fromkeys(("", "+", "-"), (ins, ins + dele))
     out: list[str] = []
-    i, inserted, deleted = 0, False, False
+    i, last = 0, ""
     while i < len(seq):
         u = rng.random()
-        if compat:
-            insert = u < (not deleted) * ins + inserted * dele
-            insert = u < (not deleted) * ins + inserted * dele
-            remove = not insert and u < deleted * ins + (not inserted) * dele
-        else:
-            insert, remove = u < ins, ins <= u < ins + dele
-        if insert:
+        more, less = bounds[last]
+        last = "+" if u < more else "-" if u < less else ""
+        if last == "+":
             out.append(BASES[rng.integers(4)])
-            inserted, deleted = True, False
             continue
-        if remove:
-            inserted, deleted = False, True
-        elif u < ins + dele + sub:
-            others = [b for b in BASES if b != seq[i]]
-            out.append(others[rng.integers(3)])
-            inserted = deleted = False
-        else:
-            out.append(seq[i])
-            inserted = deleted = False
+        if not last:
+            out.append([b for b in BASES if b != seq[i]][rng.integers(3)] if u < ins + dele + sub else seq[i])
         i += 1
     length = len(seq) if length is None or not compat else length
     while len(out) < length:

@@ -87,13 +87,11 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def read_assignment(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(read, barcode, distance) from lines of three fields between tabs or semicolons; one empty field at the end is passed over, any other number is an error."""
     lines = _lines(spark, path)
-    first = lines.groupBy("file").agg(F.min("split").alias("first"))
     if header:
         n = F.monotonically_increasing_id()
         lines = lines.withColumn("n", n)
         top = lines.groupBy("file").agg(F.min(F.struct("split", "n")).alias("top"))
         lines = lines.join(F.broadcast(top), "file").where(F.struct("split", "n") != F.col("top"))
-    del first
     f = F.split(F.regexp_replace("value", "[;\\t]$", ""), "[;\\t]", -1)
     bad = F.raise_error(F.concat(F.lit("corrupted line: "), "value"))
     f = F.when(F.size(f) == 3, f).otherwise(bad.cast("array<string>"))
