@@ -15,6 +15,17 @@ SF = "/root/testdata/sf0.001"
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
 
 
+#: Texts that the table lacks, under doc_ids of their own.
+KEY = "AKIA" + "Q7" * 8
+OWN = {
+    10**12: None,
+    10**12 + 1: "",
+    10**12 + 2: f"the harbour opened late and über uns password = 'abcdefgh12' was written near {KEY} on the wall",
+    10**12 + 3: f"seven boats carry {'0af3' * 10} across quiet rivers, api_key: ZZZZ0000yyyy and token=ABCDEFGHIJ end",
+    10**12 + 4: "green hills and one short password: abc that names nothing else around it",
+}
+
+
 def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -25,6 +36,8 @@ def kept(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    like = docs.first().asDict()
+    docs = docs.union(spark.createDataFrame([{**like, "doc_id": i, "text": t} for i, t in OWN.items()], docs.schema))
     out, columns = {NAMES[0]: {r.doc_id: r for r in docs.collect()}}, docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = corpus_pipeline.kept(stage(spark, docs, SF), name)
@@ -40,7 +53,8 @@ def kept(spark):
 
 def test_toxicity_stage(spark, kept):
     bad = {r.doc_id for r in queries.QUERIES["op10_toxicity"](spark, SF).collect() if r.predicted}
-    assert set(kept["ngram_join"]) == set(kept["toxicity"]) - bad
+    assert bad and set(kept["ngram_join"]) - set(OWN) == set(kept["toxicity"]) - set(OWN) - bad
+    assert set(OWN) <= set(kept["ngram_join"])
 
 
 def test_near_duplicate_stage(kept):
@@ -77,16 +91,20 @@ def test_decontamination_stage(spark, kept):
         w = words(r.text)
         if any(tuple(w[p : p + n]) in windows for n in {len(x) for x in windows} for p in range(len(w) - n + 1)):
             bad.add(i)
-    assert set(kept["secrets"]) == set(kept["decontamination"]) - bad
+    assert bad and set(kept["secrets"]) == set(kept["decontamination"]) - bad
 
 
 def test_secrets_stage(kept):
     assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     base = lambda t: [m[0] for m in assign.finditer(t) if len(m[1]) >= 8] + re.findall("AKIA[A-Z0-9]{12,}", t) + re.findall("[0-9a-f]{32,}", t)
-    assert set(kept["packing"]) == set(kept["secrets"])
+    assert set(kept["packing"]) == set(kept["secrets"]) >= set(OWN)
+    assert [len(base(t or "")) for t in OWN.values()] == [0, 0, 2, 3, 0]
     for i, r in kept["secrets"].items():
         after = kept["packing"][i]
-        found = base(r.text or "")
+        if r.text is None:
+            assert after.text is None
+            continue
+        found = base(r.text)
         assert not found or "[SECRET]" in after.text
         for s in found:
             assert s not in after.text
@@ -113,7 +131,7 @@ def test_packing_stage(kept):
 
 def test_run(spark, kept):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
-    assert ids == set(kept["packing"])
+    assert ids == set(kept["packing"]) - set(OWN)
 
 
 def test_registry():
