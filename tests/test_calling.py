@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -146,3 +147,70 @@ def test_repeated_read_ids_and_lower_case(spark, plan):
         assert sorted(tuple(x)[:3] for x in got.collect()) == sorted(want)
     twice = calling.two_step(b, spark.createDataFrame([(7, seqs[1]), (7, "A" * 20), (7, seqs[2])], r.schema), 7, 4, 3, plan=plan).fillna(-1)
     assert sorted(tuple(x)[:2] for x in twice.where("distance1 between 0 and 3").collect()) == [(7, 1), (7, 2)] and twice.count() == 3
+
+
+def odd_pair(spark, plain):
+    rng = random.Random(12)
+    barcodes = ["".join(rng.choices("ACGT", k=14)) for _ in range(40)]
+    if not plain:
+        barcodes[3], barcodes[4] = barcodes[3].lower(), None
+    reads = [(i % 25, s) for i, s in enumerate(["", None, "ACG", barcodes[0].lower(), "é" + barcodes[1], *["".join(c if rng.random() > 0.2 else rng.choice("ACGTN") for c in rng.choice(barcodes[5:])) for _ in range(30)]])]
+    b = spark.createDataFrame([(i // 2 if not plain and i < 2 else i, s) for i, s in enumerate(barcodes)], "barcode_id int, seq string")
+    return spark.createDataFrame([*reads, (None, barcodes[9]), (None, barcodes[9])], "read_id long, seq string"), b
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_sent_index_gives_the_rows_of_the_joins(spark, plain):
+    """Reads and barcodes with repeated ids, nulls, lower case and other symbols."""
+    reads, b = odd_pair(spark, plain)
+    same = lambda x, y: x.schema.simpleString() == y.schema.simpleString() and sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
+    for k in (2, 3):
+        scored = index.pseudo_distance(reads, b, k, 14)
+        assert same(calling.band(reads, b, k, 14), index.band_join(reads, b, k, 14))
+        assert same(calling.scored(reads, b, k, 14), scored)
+        assert same(calling.scored(reads, b, k, 14, n=5), index.top_candidates(scored, 5))
+
+
+@pytest.mark.parametrize("sql", ["argmin"])
+def test_exploded_index_is_not_broadcast(spark, sql):
+    from tessera.plans import catalog
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = catalog.QUERIES[sql](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("join", [index.band_join, index.band_join_equi])
+def test_joins_deal_out_the_exploded_index(spark, join):
+    plan = join(*odd_pair(spark, True), 3, 14)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_blocks_of_barcodes(spark, monkeypatch):
+    reads, b = odd_pair(spark, True)
+    for ks, threshold in (((3,), None), ((3, 2), 2)):
+        rows = lambda plan, ks=ks, threshold=threshold: sorted(map(repr, calling._call(b, reads, ks, threshold, n=5, plan=plan).drop("seq").collect()))
+        want = rows("map")
+        monkeypatch.setattr(calling, "SENT", calling.index_bytes(40, 14, 2) // 4)
+        assert rows("join") == want
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("u", [np.uint32, np.uint64])
+def test_candidates_met_often_are_enough(u):
+    """Many postings a barcode, few, and more reads than 32-bit keys hold: always the best by brute force."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 4, (5000, 20)).astype(np.uint8)
+    reads = [np.where(rng.random(20) < 0.1, rng.integers(0, 4, 20), codes[rng.integers(5000)]).astype(np.uint8) for _ in range(30)]
+    for k in (3, 4, 5):
+        ix = calling.indexed(np.arange(5000), codes, D.masks(codes), k)
+        ix.post = ix.post.astype(u)
+        x = calling.kmer_codes(codes, k)
+        r, b, total = calling.scores(ix, reads, 5, 20)
+        for i, read in enumerate(reads):
+            y = calling.kmer_codes(read[None], k)[0]
+            want = sum((20 - abs(p - q)) * (x[:, q] == y[p]) for p in range(len(y)) for q in range(len(y)) if abs(p - q) <= 5)
+            best = np.lexsort((np.arange(5000), -want))[:20]
+            best = best[want[best] > 0]
+            assert b[r == i].tolist() == best.tolist() and total[r == i].tolist() == want[best].tolist()
