@@ -17,8 +17,10 @@ partners:
 
 Members of a list are compared with the list's least member only.  Lists that
 still hold several components after that are compared with a few more members,
-and what even then holds several components pair by pair, where two members of
-one largest list meet in that list alone and not in each that they share.
+and what even then holds several components pair by pair, each set in its
+smallest lists only: as many of its largest are left out as it must share with
+any partner beyond one.  Two members of one largest list meet in that list
+alone and not in each that they share.
 Nodes of one component are not compared again, and pairs whose parity sketches
 differ in more bits than linked sets can are never formed.  Every comparison that decides
 is of whole sets.  Equal sets are one node throughout.
@@ -116,8 +118,34 @@ def sketches(g: np.ndarray, first: np.ndarray, words: int = SKETCH) -> np.ndarra
     return out
 
 
+def segments(g: np.ndarray, m: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each element where its set's universe is cut into m[set], and where each set's parts begin."""
+    seg = ((g >> A.U(32)) * m[doc].astype(A.U) >> A.U(32)).astype(np.int64)
+    new = np.ones(len(g), bool)
+    new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])
+    return seg, np.flatnonzero(new)
+
+
+def shared(g: np.ndarray, first: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Least number of lists that each set shares with a linked one, in the scheme with an even and the one with an odd number.
+
+    At level 0 at most H of its non-empty segments differ; at others one list is certain.
+    """
+    n = np.diff(first)
+    out = np.ones((2, len(n)), np.int64)
+    if not n.any():
+        return out
+    low, apart, cuts = bands(num, den, 1 << int(n.max()).bit_length())
+    own = np.searchsorted(low, n, "right") - 1
+    doc = np.repeat(np.arange(len(n)), n)
+    for scheme in (own, own + 1):
+        _, b = segments(g, cuts[scheme], doc)
+        out[scheme & 1, np.arange(len(n))] = np.maximum(np.bincount(doc[b], minlength=len(n)) - apart[scheme], 1)
+    return out
+
+
 def signatures(g: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of every list that each non-empty set is in."""
+    """(signature, set) of every list that each non-empty set is in; the lowest bit is that of the scheme's number."""
     n = np.diff(first)
     live = np.flatnonzero(n)
     if not len(live):
@@ -126,13 +154,10 @@ def signatures(g: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
     own = np.searchsorted(low, n, "right") - 1
     doc = np.repeat(np.arange(len(n)), n)
     mixed = A.mix(g + A.U(3))
-    sig, who = [], []
+    sig, who, odd = [], [], []
     for scheme in (own, own + 1):
         m, h = cuts[scheme], apart[scheme]
-        seg = ((g >> A.U(32)) * m[doc].astype(A.U) >> A.U(32)).astype(np.int64)
-        new = np.ones(len(g), bool)
-        new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])
-        b = np.flatnonzero(new)
+        seg, b = segments(g, m, doc)
         part = np.append(b, len(g))
         size, of, s = np.diff(part), doc[b], totals(mixed, part)
         salt = A.mix((scheme[of] * 2**32 + seg[b]).astype(A.U))
@@ -159,11 +184,12 @@ def signatures(g: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
             none[at[of[full]] + seg[b][full]] = False
             sig.append(A.mix(A.mix((scheme[d] * 2**32 + k).astype(A.U)[none]) + A.U(11)))
             who.append(d[none])
-    return np.concatenate(sig), np.concatenate(who)
+        odd += [scheme[w] & 1 for w in who[len(odd) :]]
+    return np.concatenate(sig) & ~A.U(1) | np.concatenate(odd).astype(A.U), np.concatenate(who)
 
 
-def _sets(width: int):
-    names = ["doc_id", "dh", "n", "node", *[f"s{k}" for k in range(SKETCH)]]
+def _sets(width: int, num: int, den: int):
+    names = ["doc_id", "dh", "n", "node", "even", "odd", *[f"s{k}" for k in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +197,7 @@ def _sets(width: int):
                 g, first = shingles(buf, at, width)
                 s = sketches(g, first)
                 wide = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * (j - i) + 1, WIDE, np.int32)), pa.array(sketches(g, first, WIDE).ravel()))
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)], wide], names=[*names, "wide"])
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *map(pa.array, shared(g, first, num, den)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)], wide], names=[*names, "wide"])
 
     return run, ", ".join([*[f"{c} long" for c in names], "wide array<long>"])
 
@@ -236,6 +262,22 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, table: DataFra
     return out
 
 
+def rarest(of: DataFrame) -> DataFrame:
+    """The rows (sig, node, component, even, odd) of open lists in which each node meets all that it links with outside its component.
+
+    Such a node shares at least ``need`` open lists with the other, of the same scheme.  In one order of all lists, the least that they
+    share is thus followed by need - 1 others in the order of either, so of its o lists each node needs only the first o - need + 1.
+    Lists come in the order of their sizes: what very many sets have in common is left to nodes that share too little else.
+    """
+    by, own = W.partitionBy("sig"), W.partitionBy("node", F.expr("sig & 1"))
+    of = of.withColumn("need", F.when(F.expr("sig & 1 = 0"), F.col("even")).otherwise(F.col("odd")))
+    for _ in range(2):
+        of = of.withColumn("o", F.count("*").over(own)).where("o >= need")
+        of = of.withColumn("c0", F.min("component").over(by)).withColumn("c1", F.max("component").over(by)).where("c0 < c1").drop("c0", "c1")
+    of = of.withColumn("members", F.count("*").over(by)).withColumn("o", F.count("*").over(own))
+    return of.withColumn("place", F.row_number().over(own.orderBy("members", "sig"))).where("place <= o - need + 1").drop("place", "o", "need")
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, dh) of every row of docs; sets link when den * intersection >= num * union.
 
@@ -245,8 +287,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     is there.  Other columns are ignored.  dh is xxhash64 of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dh"))
-    table = kept(docs.mapInArrow(*_sets(width)), "sets")
-    nodes = kept(table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]), "nodes")
+    table = kept(docs.mapInArrow(*_sets(width, num, den)), "sets")
+    nodes = kept(table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", "even", "odd")], *[F.min(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]), "nodes")
     by = W.partitionBy("sig")
     lists = docs.mapInArrow(*_lists(width, num, den)).select("*", F.min("node").over(by).alias("rep"), F.max("node").over(by).alias("top"))
     lists = kept(lists.where("rep < top").select("sig", "node", "rep"), "lists")
@@ -262,7 +304,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
         of = of.select("*", F.min("component").over(by).alias("c0"), F.max("component").over(by).alias("c1"), F.row_number().over(by.orderBy("node")).alias("nth"))
         of = kept(of.where("c0 < c1").drop("c0", "c1").join(nodes.drop("doc_id"), "node"), "open")
         if not reps:
-            homes = of.join(of.groupBy("sig").agg(F.count("*").alias("members")), "sig").groupBy("node").agg(F.max(F.struct("members", "sig")).alias("home")).select("node", "home.sig")
+            old, of = of, kept(rarest(of), "rarest")
+            homes = of.groupBy("node").agg(F.max(F.struct("members", "sig")).alias("home")).select("node", "home.sig")
+            drop(old)
             old, of = of, kept(of.join(homes.toDF("node", "home"), "node"), "open")
             drop(old)
         x, y = of.alias("x"), (of.where(F.col("nth") <= reps) if reps else of).alias("y")

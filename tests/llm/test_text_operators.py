@@ -62,6 +62,37 @@ def test_signatures_find_every_pair():
                 assert np.intersect1d(sig[who == 0], sig[who == 1]).size
 
 
+def test_linked_sets_share_so_many_lists():
+    rng = np.random.default_rng(4)
+    more = 0
+    for n in (6, 9, 14, 25, 60, 300):
+        for _ in range(60):
+            a = np.unique(rng.integers(1, 2**64, n, dtype=np.uint64))
+            b = np.array(a)
+            b[rng.integers(0, n, n // 13)] = rng.integers(1, 2**64, n // 13, dtype=np.uint64)
+            b = np.unique(b)
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 85 * (len(a) + len(b) - both)
+            g, first = np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])
+            sig, who = ngram_join.signatures(g, first, 85, 100)
+            common = np.intersect1d(sig[who == 0], sig[who == 1])
+            need = ngram_join.shared(g, first, 85, 100).max(1)
+            # of one scheme at least: sets of neighbouring bands have one in common
+            assert any(np.count_nonzero(common & np.uint64(1) == p) >= need[p] for p in (0, 1))
+            more += int((need > 1).any())
+    assert more
+
+
+def test_rarest_lists_leave_out_what_many_have(spark):
+    """Twenty nodes share list 2 and two each a smaller one; each must share two lists with a partner, so no pair need meet in list 2."""
+    rows = [(2, i, i, 2, 2) for i in range(20)] + [(4 + 2 * (i // 2), i, i, 2, 2) for i in range(20)]
+    of = spark.createDataFrame(rows, "sig long, node long, component long, even long, odd long")
+    left = ngram_join.rarest(of).collect()
+    assert sorted((r.sig, r.node) for r in left) == [(4 + 2 * (i // 2), i) for i in range(20)]
+    one = of.withColumn("even", of["odd"] * 0 + 1)
+    assert ngram_join.rarest(one).count() == 40
+
+
 @pytest.mark.parametrize("length", [40, 400])
 def test_suffix_dedup(docs, rows, none, length):
     seen = Counter(b[p : p + length] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - length + 1))
