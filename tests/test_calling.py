@@ -171,7 +171,7 @@ def test_sent_index_gives_the_rows_of_the_joins(spark, plain):
         assert same(calling.scored(reads, b, k, 14, n=5), index.top_candidates(scored, 5))
 
 
-@pytest.mark.parametrize("sql", ["argmin", "band_join_equi", "call_k7_join", "pseudo_distance", "top2_assignment", "topk_candidates"])
+@pytest.mark.parametrize("sql", ["argmin", "band_join", "band_join_equi", "pseudo_distance", "topk_candidates", "top2_assignment", "call_k7_join"])
 def test_exploded_index_is_not_broadcast(spark, sql):
     from tessera.plans import catalog
 
