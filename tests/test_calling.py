@@ -214,3 +214,22 @@ def test_candidates_met_often_are_enough(u):
             best = np.lexsort((np.arange(5000), -want))[:20]
             best = best[want[best] > 0]
             assert b[r == i].tolist() == best.tolist() and total[r == i].tolist() == want[best].tolist()
+
+
+@pytest.mark.parametrize("n", [3, 20, 4000])
+def test_table_of_all_barcodes_gives_the_best(monkeypatch, n):
+    """What is read off a table of -pd is what sorted postings give: few and all barcodes met, ties, reads of several lengths."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 4, (5000, 16)).astype(np.uint8)
+    codes[40:80] = codes[:40]
+    reads = [np.where(rng.random(16) < 0.1, rng.integers(0, 4, 16), codes[rng.integers(100)]).astype(np.uint8)[: rng.integers(2, 17)] for _ in range(40)]
+    for k in (2, 3, 4):
+        ix = calling.indexed(np.arange(5000), codes, D.masks(codes), k)
+        used = []
+        with monkeypatch.context() as m:
+            m.setattr(calling, "MANY", 1 << 30)
+            want = calling.scores(ix, reads, 5, n)
+        with monkeypatch.context() as m:
+            m.setattr(calling, "tallied", lambda *a, f=calling.tallied: used.append(1) or f(*a))
+            got = calling.scores(ix, reads, 5, n)
+        assert all((a == b).all() for a, b in zip(want, got, strict=True)) and (used or k == 4)
