@@ -1,7 +1,9 @@
 import os
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.functions import distance as D
@@ -233,3 +235,12 @@ def test_table_of_all_barcodes_gives_the_best(monkeypatch, n):
             m.setattr(calling, "tallied", lambda *a, f=calling.tallied: used.append(1) or f(*a))
             got = calling.scores(ix, reads, 5, n)
         assert all((a == b).all() for a, b in zip(want, got, strict=True)) and (used or k == 4)
+
+
+def test_join_plan_broadcasts_no_calls(spark, tmp_path):
+    """Tables that are read are taken for a few kB, and what is called of them for less than it is."""
+    rng = random.Random(13)
+    spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=14))) for i in range(20)], "barcode_id long, seq string").write.parquet(f"{tmp_path}/b")
+    b = spark.read.parquet(f"{tmp_path}/b")
+    plan = calling.call(b, b.withColumnRenamed("barcode_id", "read_id"), 4, plan="join")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
