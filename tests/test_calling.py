@@ -244,3 +244,18 @@ def test_join_plan_broadcasts_no_calls(spark, tmp_path):
     b = spark.read.parquet(f"{tmp_path}/b")
     plan = calling.call(b, b.withColumnRenamed("barcode_id", "read_id"), 4, plan="join")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_indexes_are_made_where_they_are_used():
+    """Sent are codes and ids, 42 bytes a barcode, not the indexes, of which one has 160 or more; what was made goes nowhere either."""
+    rng = random.Random(14)
+    seqs = ["".join(rng.choices("ACGT", k=34)) for _ in range(2000)]
+    ids = np.array(rng.sample(range(10**6), 2000))
+    sent = calling.Sent(pa.table({"barcode_id": ids, "seq": pa.chunked_array([seqs[:700], seqs[700:]])}), 34, 7, 5)
+    steps = sent.steps
+    data = pickle.dumps(sent)
+    assert len(data) < 2000 * 45 and calling.index_bytes(2000, 34, 7, 5) > 10 * len(data)
+    for ix, again, k in zip(steps, pickle.loads(data).steps, (7, 5), strict=True):
+        want = calling.build(ids, seqs, k, 34)
+        assert ix is sent.steps[(7, 5).index(k)] and ix.k == again.k == k and (ix.ids == np.sort(ids)).all()
+        assert all((getattr(x, c) == getattr(want, c)).all() for x in (ix, again) for c in ("first", "post", "ids", "code", "masks"))
