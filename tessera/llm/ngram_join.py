@@ -20,7 +20,8 @@ still hold several components after that are compared with a few more members,
 and what even then holds several components pair by pair, each set in its
 smallest lists only: as many of its largest are left out as it must share with
 any partner beyond one.  Two members of one largest list meet in that list
-alone and not in each that they share.
+alone and not in each that they share, and wide sketches decide there which
+pairs are formed.
 Nodes of one component are not compared again, and pairs whose parity sketches
 differ in more bits than linked sets can are never formed.  Every comparison that decides
 is of whole sets.  Equal sets are one node throughout.
@@ -238,6 +239,18 @@ def near(num: int, den: int) -> str:
     return f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {den + num} * ({odd}) <= {den - num} * (x.n + y.n)"
 
 
+def close(num: int, den: int) -> str:
+    """As ``near``, by the wide sketches: with long sets nearly every bit of the others is as often odd as not."""
+    odd = " + ".join(f"bit_count(x.wide[{k}] ^ y.wide[{k}])" for k in range(WIDE))
+    return f"{den + num} * ({odd}) <= {den - num} * (x.n + y.n)"
+
+
+def wides(of: DataFrame, table: DataFrame) -> DataFrame:
+    """(node, n, wide) of the nodes of ``of``(node, doc_id), once each."""
+    e = of.toDF("e_node", "e_id")
+    return table.join(e, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("e_id"))).select("node", "n", "wide").dropDuplicates(["node"])
+
+
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, table: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link, as a table; a pair may be there twice.
 
@@ -245,8 +258,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, table: DataFra
     """
     spark = docs.sparkSession
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-    e = ends(pairs).toDF("e_node", "e_id")
-    wide = table.join(e, (F.col("node") == F.col("e_node")) & F.col("doc_id").eqNullSafe(F.col("e_id"))).select("node", "n", "wide").dropDuplicates(["node"])
+    wide = wides(ends(pairs), table)
     both = pairs.join(wide.toDF("a", "na", "x"), "a").join(wide.toDF("b", "nb", "y"), "b")
     odd = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = kept(both.where((den + num) * odd <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b"), "close")
@@ -307,11 +319,13 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
             old, of = of, kept(rarest(of), "rarest")
             homes = of.groupBy("node").agg(F.max(F.struct("members", "sig")).alias("home")).select("node", "home.sig")
             drop(old)
-            old, of = of, kept(of.join(homes.toDF("node", "home"), "node"), "open")
+            wide = wides(homes.select("node").join(nodes.select("node", "doc_id"), "node"), table).drop("n")
+            old, of = of, kept(of.join(homes.toDF("node", "home"), "node").join(wide, "node"), "open")
             drop(old)
         x, y = of.alias("x"), (of.where(F.col("nth") <= reps) if reps else of).alias("y")
         apart = "x.component <> y.component" if reps else "x.component < y.component and (x.home <> y.home or x.home = x.sig)"
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & F.expr(f"{apart} and {near(num, den)}"))
+        links_maybe = near(num, den) if reps else f"{near(num, den)} and {close(num, den)}"
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & F.expr(f"{apart} and {links_maybe}"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")

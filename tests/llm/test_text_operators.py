@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -247,3 +248,26 @@ def test_many_secrets_in_one_text(spark, none):
     assert got == {1: (n, 0), None: (1, 0)}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean == {1: " ".join(f"ü https://x.example/{i} [SECRET]" for i in range(n)), None: "[SECRET]"}
+
+
+def test_long_sets_that_differ_too_much_make_no_pairs(spark, monkeypatch):
+    """Sets of 1,500 that have some hundred elements of their own each, which short sketches don't tell from linked ones."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(1500)]
+
+    def changed(share):
+        return " ".join(w if rng.random() > share else f"w{rng.randrange(10**9)}" for w in base)
+
+    texts = [changed(0.03) for _ in range(30)]
+    texts += [texts[0] + " one more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, real = [], ngram_join.kept
+    monkeypatch.setattr(ngram_join, "REPS", (None,))
+    monkeypatch.setattr(ngram_join, "kept", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(ngram_join, "drop", lambda *frames: None)
+    rows = ngram_join.ngram_components(docs).collect()
+    assert {r.component_id for r in rows if r.doc_id in (0, 30)} == {0}
+    last = [df for name, df in made if name == "pairs"][-1]
+    sets = {r.doc_id: set(zip(*(texts[r.doc_id].split()[k:] for k in range(4)), strict=False)) for r in rows}
+    apart = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(1, 30) for j in range(i)]
+    assert max(apart) < 0.8 and last.count() == 0
