@@ -41,7 +41,7 @@ from pyspark.sql.window import Window as W
 
 from tessera.llm import arrays as A
 from tessera.llm.graph import components
-from tessera.llm.shared import bitmap, drop, kept, maybe
+from tessera.llm.shared import bitmap, drop, kept, maybe, spare
 
 WIDTH = 4
 NUM, DEN = 85, 100
@@ -200,7 +200,7 @@ def _sets(width: int, num: int, den: int):
                 wide = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * (j - i) + 1, WIDE, np.int32)), pa.array(sketches(g, first, WIDE).ravel()))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("dh").slice(i, j - i), pa.array(np.diff(first)), A.signed(nodes_of(g, first)), *map(pa.array, shared(g, first, num, den)), *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(SKETCH)], wide], names=[*names, "wide"])
 
-    return run, ", ".join([*[f"{c} long" for c in names], "wide array<long>"])
+    return spare(run), ", ".join([*[f"{c} long" for c in names], "wide array<long>"])
 
 
 def _lists(width: int, num: int, den: int):
@@ -215,7 +215,7 @@ def _lists(width: int, num: int, den: int):
                 sig, who = sig[once[who]], who[once[who]]
                 yield pa.record_batch([A.signed(sig), A.signed(node[who])], names=["sig", "node"])
 
-    return run, "sig long, node long"
+    return spare(run), "sig long, node long"
 
 
 def _whole(width: int, want):
@@ -230,7 +230,7 @@ def _whole(width: int, want):
                 cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), A.signed(g[A.spread(first[hit], size)]))
                 yield pa.record_batch([A.signed(node[hit]), cells], names=["node", "cells"])
 
-    return run, "node long, cells array<long>"
+    return spare(run), "node long, cells array<long>"
 
 
 def near(num: int, den: int) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
-from tessera.llm.shared import kept
+from tessera.llm.shared import kept, spare
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -101,7 +101,7 @@ def _bucket_counts():
             part = k[a : a + 50_000]
             yield pa.record_batch([pa.array(part), pa.array(count[0][part]), pa.array(count[1][part])], names=["bucket", "clean", "toxic"])
 
-    return run, "bucket long, clean long, toxic long"
+    return spare(run), "bucket long, clean long, toxic long"
 
 
 def _vectors(slot):
@@ -117,7 +117,7 @@ def _vectors(slot):
                 sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut), pa.py_buffer(cells)])
                 yield pa.record_batch([batch.column("toxic").slice(i, j - i), batch.column("held").slice(i, j - i), sets], names=["toxic", "held", "slots"])
 
-    return run, "toxic int, held boolean, slots binary"
+    return spare(run), "toxic int, held boolean, slots binary"
 
 
 def _gradients(sent):
@@ -152,7 +152,7 @@ def _gradients(sent):
         for m in range(len(models)):
             yield pa.record_batch([pa.array([m]), pa.array([grad[m].astype(np.float32).tobytes()], pa.binary()), pa.array([more[m].tobytes()], pa.binary())], names=["model", "grad", "more"])
 
-    return run, "model long, grad binary, more binary"
+    return spare(run), "model long, grad binary, more binary"
 
 
 class Descent:
@@ -267,7 +267,7 @@ def _score(model, name: str):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.scores(batch.column("text")))], names=[*batch.schema.names, name])
 
-    return run
+    return spare(run)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -271,3 +271,21 @@ def test_long_sets_that_differ_too_much_make_no_pairs(spark, monkeypatch):
     sets = {r.doc_id: set(zip(*(texts[r.doc_id].split()[k:] for k in range(4)), strict=False)) for r in rows}
     apart = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(1, 30) for j in range(i)]
     assert max(apart) < 0.8 and last.count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After the last batch, and also where the reader ends early."""
+    import ctypes
+
+    from tessera.llm import shared, toxicity
+
+    trimmed = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: type("libc", (), {"malloc_trim": staticmethod(trimmed.append)}))
+    assert list(shared.spare(lambda batches: (2 * x for x in batches))(iter([1, 2]))) == [2, 4] and trimmed == [0]
+    rows = shared.spare(lambda batches: (x for x in batches))(iter([1, 2]))
+    assert next(rows) == 1 and len(trimmed) == 1
+    rows.close()
+    assert len(trimmed) == 2
+    for run in (ngram_join._sets(4, 85, 100)[0], ngram_join._lists(4, 85, 100)[0], ngram_join._whole(4, None)[0], toxicity._score(None, "score"), toxicity._vectors(None)[0]):
+        assert list(run(iter([]))) == []
+    assert len(trimmed) == 7
