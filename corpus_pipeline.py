@@ -7,11 +7,14 @@ benchmark (of its items of ``ITEM_WORDS`` words or more) go; found secrets are b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, secrets, toxicity
-from tessera.llm.shared import kept
+from tessera.llm.shared import compact, kept
 
 #: Shorter benchmark items are common words that clean documents hold too.
 ITEM_WORDS = 4
@@ -40,12 +43,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def rested(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, on executors that have given back what the one before it left free."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        compact(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", remove_toxic),
-    ("ngram_join", remove_near_duplicates),
-    ("decontamination", remove_contaminated),
-    ("secrets", blot_secrets),
-    ("packing", pack),
+    ("toxicity", rested(remove_toxic)),
+    ("ngram_join", rested(remove_near_duplicates)),
+    ("decontamination", rested(remove_contaminated)),
+    ("secrets", rested(blot_secrets)),
+    ("packing", rested(pack)),
 ]
 
 #: The first stage's classifier has no SQL form; tests hold the operators of the stages against brute force, a round trip or held-out labels.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
-from tessera.llm.shared import kept
+from tessera.llm.shared import kept, spare
 
 LENGTH = 10
 BLOCK = 1 << 25
@@ -134,7 +134,7 @@ def _matches(tests):
             values = pa.StructArray.from_arrays([item_ids.take(pa.array(m[:, 1])), *[pa.array(np.ascontiguousarray(m[:, k])) for k in range(2, 5)]], fields=list(MATCH))
             yield pa.record_batch([batch.column("doc_id"), batch.column("dh"), pa.array(np.concatenate(n)), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=schema)
 
-    return run, "doc_id long, dh long, n_words long, matches array<struct<item_id:long,start:long,item_start:long,length:long>>"
+    return spare(run), "doc_id long, dh long, n_words long, matches array<struct<item_id:long,start:long,item_start:long,length:long>>"
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:

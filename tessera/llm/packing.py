@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import spare
 from tessera.llm.tokens import tokenizer
 
 CAPACITY = 1024
@@ -141,7 +142,7 @@ def _pack(path: str, capacity: int):
                 yield table(rows)
         yield table(packer.close())
 
-    return run, ", ".join(f"{c} long" for c in FIELDS)
+    return spare(run), ", ".join(f"{c} long" for c in FIELDS)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

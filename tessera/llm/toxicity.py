@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
-from tessera.llm.shared import kept, spare
+from tessera.llm.shared import compact, kept, spare
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -284,7 +284,9 @@ def rejected_out(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     name = "score"
     while name in docs.columns:
         name += "_"
-    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
+    model = fit(docs, labels)
+    compact(docs.sparkSession)
+    return score(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

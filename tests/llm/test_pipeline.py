@@ -136,3 +136,13 @@ def test_run(spark, kept):
 
 def test_registry():
     assert len(queries.QUERIES) == 10
+
+
+def test_stages_begin_on_compacted_executors(spark, docs):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    for name in ("secrets", "packing"):  # these two run nothing before they are written
+        before = collections()
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert collections() > before, name

@@ -289,3 +289,17 @@ def test_workers_give_memory_back(monkeypatch):
     for run in (ngram_join._sets(4, 85, 100)[0], ngram_join._lists(4, 85, 100)[0], ngram_join._whole(4, None)[0], toxicity._score(None, "score"), toxicity._vectors(None)[0]):
         assert list(run(iter([]))) == []
     assert len(trimmed) == 7
+
+
+def test_packing_and_decontamination_give_memory_back(monkeypatch):
+    import ctypes
+
+    import public_tokenizers
+
+    from tessera.llm import decontaminate, packing
+
+    trimmed = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: type("libc", (), {"malloc_trim": staticmethod(trimmed.append)}))
+    list(packing._pack(public_tokenizers.path("byte_bpe_50k.json"), 1024)[0](iter([])))
+    list(decontaminate._matches(type("sent", (), {"value": (None, None, None)}))[0](iter([])))
+    assert len(trimmed) == 2
