@@ -259,3 +259,19 @@ def test_indexes_are_made_where_they_are_used():
         want = calling.build(ids, seqs, k, 34)
         assert ix is sent.steps[(7, 5).index(k)] and ix.k == again.k == k and (ix.ids == np.sort(ids)).all()
         assert all((getattr(x, c) == getattr(want, c)).all() for x in (ix, again) for c in ("first", "post", "ids", "code", "masks"))
+
+
+@pytest.mark.parametrize(("distance", "costs"), [("sequence-levenshtein", None), ("levenshtein", None), ("sequence-levenshtein", tuple(range(25)))])
+def test_calls_of_the_jvm_are_those_of_the_workers(spark, distance, costs):
+    """The map plan runs no Python on the executors, and gives the rows that its Python form gives."""
+    rng = random.Random(8)
+    seqs = ["".join(rng.choices("ACGT", k=20)) for _ in range(300)]
+    barcodes = spark.createDataFrame([(7 * i % 300, s if i % 50 else s[:5] + "-N" + s[7:].lower()) for i, s in enumerate(seqs)], "barcode_id long, seq string")
+    rows = [(i, s[: i % 12] + rng.choice("ACGTNx\U0001f600") + s[i % 12 + i % 2 :] + "ACGT" * (i % 40 == 3) * 20) for i, s in enumerate(seqs)]
+    reads = spark.createDataFrame([*rows, (300, None), (301, ""), (302, "ACG"), (302, seqs[5])], "read_id long, seq string").repartition(3)
+    for ks, n, threshold in (((3,), 10, None), ((5,), 100, None), ((6, 3), 20, 4)):
+        df = calling._call(barcodes, reads, ks, threshold, distance, 5, n, costs, "map")
+        assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+        old = reads.mapInArrow(*calling._caller(calling._sent(barcodes, 20, *ks), distance, costs, 5, n, threshold))
+        rows = [sorted(map(repr, x.collect())) for x in (df, old)]
+        assert rows[0] == rows[1] and len(rows[0]) == 304
