@@ -127,6 +127,30 @@ def test_nearest_equals_brute_force(spark):
         assert {x.read_id: tuple(x)[1:] for x in calling.nearest(b, r, name).collect()} == want
 
 
+@pytest.mark.parametrize("length", [7, 34, 66])
+def test_nearest_of_many_without_workers(spark, length):
+    """Barcodes of several blocks, copies among them, and reads near, far, short, long, null and with symbols that are no base; no pair goes through Python."""
+    rng = random.Random(length)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    seqs = [dna(length) for _ in range(1100)]
+    seqs += [*seqs[:4], "N" * length]
+    ids = rng.sample(range(10**6), len(seqs))
+    near = lambda: "".join(rng.choice(["", c, c, c, c, dna(1), c + dna(1)]) for c in rng.choice(seqs))
+    reads = [None, "", "N", "A" * 63, "A" * 64, *seqs[-5:], *[near() for _ in range(20)], *[near() + dna(60) for _ in range(5)], *[dna(rng.randint(1, 90)) for _ in range(20)], *[x[: rng.randint(1, length)].lower() for x in seqs[:5]]]
+    b = spark.createDataFrame(list(zip(ids, seqs, strict=True)), "barcode_id long, seq string")
+    r = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    order = np.argsort(ids)
+    code = np.stack(D.codes([seqs[i] for i in order]))
+    for name, prefix in (("levenshtein", False), ("sequence-levenshtein", True)):
+        want = {}
+        for i, x in enumerate(reads):
+            d = D.aligned(code, np.tile(D.codes([x])[0], (len(code), 1)), D.UNIT, prefix) if x else np.full(len(code), 0 if prefix else length)
+            want[i] = (ids[order[d.argmin()]], int(d.min()))
+        got = calling.nearest(b, r, name)
+        assert {x.read_id: tuple(x)[1:] for x in got.collect()} == want
+        assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simulate(spark):
     b = spark.createDataFrame([(i, B1) for i in range(3)], "barcode_id long, seq string")
     rows = simulate(b, 9, length=40).collect()
