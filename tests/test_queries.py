@@ -36,3 +36,9 @@ def test_simulated_reads_cover_all_barcodes(spark):
     for sf in (SF, SF.replace("0.001", "0.1")):
         reads = catalog.simulate_reads(spark, sf).groupBy("barcode_id").count().collect()
         assert {r["barcode_id"] for r in reads} == {r["barcode_id"] for r in catalog.barcodes(spark, sf).collect()}
+
+
+def test_top_two_has_the_second_best(spark):
+    df = catalog.QUERIES["top2_assignment"](spark, SF)
+    assert df.columns == ["read_id", "barcode1", "distance1", "barcode2", "distance2"]
+    assert df.where("barcode2 is null or barcode2 = barcode1 or distance2 < distance1").count() == 0
