@@ -299,3 +299,21 @@ def test_calls_of_the_jvm_are_those_of_the_workers(spark, distance, costs):
         old = reads.mapInArrow(*calling._caller(calling._sent(barcodes, 20, *ks), distance, costs, 5, n, threshold))
         rows = [sorted(map(repr, x.collect())) for x in (df, old)]
         assert rows[0] == rows[1] and len(rows[0]) == 304
+
+
+@pytest.mark.parametrize(("ks", "threshold"), [((4,), None), ((5,), None), ((7, 4), 5), ((7, 5), 5)])
+def test_parts_of_many_barcodes(spark, monkeypatch, ks, threshold):
+    """Barcodes of two parts, with equal sequences, other symbols and single bases throughout: the rows of a read at a time."""
+    rng = np.random.default_rng(5)
+    seqs = ["".join(x) for x in rng.choice(list("ACGT"), (17000, 20))]
+    seqs[3:6], seqs[16500], seqs[16800:16803] = ["A" * 20, "NNNNNACGTACGTACGTAAC", "acgtacgtacgtacgtacgt"], seqs[0], ["A" * 20, seqs[1], seqs[2]]
+    b = spark.createDataFrame([(int(i), s) for i, s in zip(rng.permutation(17000) + 7, seqs, strict=True)], "barcode_id long, seq string")
+    some = [s[:p] + "T" + s[p + 2 :] + t for s, p, t in zip(seqs[:150], rng.integers(0, 18, 150).tolist(), "ACGTN" * 30, strict=True)]
+    reads = spark.createDataFrame(list(enumerate([None, "", "ACG", "NNNN", "ACGT", "ACGTA", "A" * 20, "A" * 70, seqs[0].lower(), seqs[1] + seqs[2], *some, some[0]])), "read_id long, seq string").repartition(4)
+    call = lambda: calling._call(b, reads, ks, threshold, n=20).drop("seq")
+    got = call()
+    assert "MapPartitions" in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(calling, "MANY", 1 << 30)
+    want = call()
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
